@@ -23,6 +23,44 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op6_substring_dedup)}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 1024 tokens."""
+    from contactloom.llm.packing import pack_documents
 
-ORACLE_SQL: dict[str, str] = {}
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources by weight takes of each document."""
+    from contactloom.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).drop("source")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for the case of A-Z."""
+    from contactloom.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(documents(spark, sf_dir), hash_all=True)
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their 3-word shingles."""
+    from contactloom.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+_ALL = (op2_best_fit_packing, op3_suffix_dedup, op5_mixing, op6_substring_dedup, op7_exact_dedup, op8_minhash_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY x)
+""",
+}
