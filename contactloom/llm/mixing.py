@@ -70,13 +70,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) ->
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    per = per.withColumn("level", level).withColumn("free", F.col("most") > F.col("level") * F.col("weight"))
-    at = F.min(F.when(F.col("free"), F.col("level"))).over(Window.partitionBy(F.lit(0)))
-    per = per.withColumn("target", F.when(F.col("free"), F.col("weight") * at).otherwise(F.col("most")))
+    per = per.withColumns({"level": level, "rank": F.row_number().over(order)})
+    # the first source that isn't full sets the level of all that follow
+    free = F.when(F.col("most") > F.col("level") * F.col("weight"), F.struct("rank", "level"))
+    per = per.withColumn("at", F.min(free).over(Window.partitionBy(F.lit(0))))
+    per = per.withColumn("target", F.when(F.col("rank") >= F.col("at.rank"), F.col("weight") * F.col("at.level")).otherwise(F.col("most")))
     length = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.col("source_size") / BLOCKS))).cast("long")
     per = per.withColumn("length", length).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
     slots = F.when(F.col("source_size") > 0, F.least(F.col("blocks") * repeats, F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0)
-    return per.withColumn("slots", slots.cast("long")).drop("most", "level", "free")
+    return per.withColumn("slots", slots.cast("long")).drop("most", "level", "rank", "at")
 
 
 def draws(targets: DataFrame, seed: int = 0) -> DataFrame:
