@@ -102,8 +102,8 @@ def _extend(length: int, n: int):
         reach = PERIOD - 1
         for batch in batches:
             rid, got = batch.column(0).to_numpy(), []
-            marks = [B.unpack(("pos",), x.as_buffer())[0] for x in batch.column(2)]
-            for i, data, at in B.chunks(batch.column(1)):
+            marks = [B.unpack(("pos",), x.as_buffer())[0] for x in batch.column(3)]
+            for i, data, at in B.chunks(batch.column(2)):
                 h, first, _, _ = _word_hashes(data, at, chars)
                 hit = np.concatenate([marks[i + r] + first[r] for r in range(len(at) - 1)])
                 edge = np.zeros(len(h) + 2, dtype=np.int32)
@@ -176,8 +176,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = B.ordered_rows(docs, id_col, text_col)
     shared = B.exchange(rows.select("rid", "text").mapInArrow(_anchors(length, n), B.BLOB), n).mapInArrow(_shared(n), B.BLOB)
     marks = B.exchange(shared, n).mapInArrow(B.by_doc(("doc", "pos")), B.BY_DOC).select("rid", "items")
-    # both joins read one exchange of the texts; the hash side holds positions only
-    windows = rows.join(marks.hint("shuffle_hash"), "rid").select("rid", "text", "items").mapInArrow(_extend(length, n), B.BLOB)
+    # both joins take the same columns, so they read one exchange of the texts; the hash side holds positions only
+    windows = rows.join(marks.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "items").mapInArrow(_extend(length, n), B.BLOB)
     later = B.exchange(windows, n).mapInArrow(later_ones(WINDOW, n), B.BLOB)
     again = B.exchange(later, n).mapInArrow(B.by_doc(("doc", "pos")), B.BY_DOC).select("rid", F.col("items").alias("again"))
     all_ = rows.join(again.hint("shuffle_hash"), "rid", "left")

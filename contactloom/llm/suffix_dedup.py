@@ -161,9 +161,9 @@ def _rank_whole(length: int, n: int, chunk: int):
         half = length // 2
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            data, at = B.flat(batch.column(1))
+            data, at = B.flat(batch.column(2))
             got = []
-            for i, blob in enumerate(batch.column(2)):
+            for i, blob in enumerate(batch.column(3)):
                 start, number, alone = B.unpack(FOUND[1:], blob.as_buffer())
                 start, number = start[alone == 1], number[alone == 1].astype(np.int64)
                 text = data[at[i] : at[i + 1]]
@@ -273,8 +273,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = rows.select("rid", "text").mapInArrow(_rank_half(length, n, chunk), B.BLOB)
     found = B.exchange(half, n).mapInArrow(_rerank(n), B.BLOB)
     runs = B.checkpoint(B.exchange(found, n).mapInArrow(B.by_doc(FOUND), B.BY_DOC))
-    # both joins read one exchange of the texts; the hash side holds positions only
-    open_ = rows.join(runs.filter("flag").select("rid", "items").hint("shuffle_hash"), "rid").select("rid", "text", "items")
+    # both joins take the same columns, so they read one exchange of the texts; the hash side holds positions only
+    open_ = rows.join(runs.filter("flag").select("rid", "items").hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "items")
     whole = open_.mapInArrow(_rank_whole(length, n, chunk), B.BLOB)
     later = B.exchange(whole, n).mapInArrow(later_ones(WHOLE, n), B.BLOB)
     alone = B.exchange(later, n).mapInArrow(B.by_doc(("doc", "pos")), B.BY_DOC)
