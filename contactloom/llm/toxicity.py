@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from contactloom.llm import blocks as B
 
 ORDER, DECAY = 3, 0.75
+#: A power of a kernel is one; it sets near misses further apart.
+POWER = 2
 #: Landmarks at most, how alike two may be, and bytes of a word that are compared at a time.
 LANDMARKS, ALIKE, LENGTH = 64, 0.6, 40
 #: Labelled rows of each kind that are learned from at most, those of the least hash of the id.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Words whose scores a worker remembers at a time.
 MEMORY = 2_000_000
 
@@ -118,7 +120,7 @@ class Landmarks:
                     known[new] = True
                 t = np.broadcast_to(self.flat[m, : self.size[m]], (len(h), self.size[m]))
                 k = _subsequences(_squeeze(flat[h], n[h]), t) / np.sqrt(np.maximum(own[h] * self.own[m], 1e-12))
-                np.maximum.at(out[:, m], owner[h], k)
+                np.maximum.at(out[:, m], owner[h], k**POWER)
         return out
 
     def vectors(self, words: list[bytes]) -> np.ndarray:
@@ -252,17 +254,25 @@ def fit(toxic: list[bytes], clean: list[bytes]) -> Model | None:
     # words that no landmark has a kernel with are one point
     none = np.zeros((1, x.shape[1]))
 
-    def machine(pos, neg):
+    # words weigh by the texts that they occur in
+    often = a[is_marked] / a[is_marked].sum()
+    rarely = b[live[~is_marked[live] & (b[live] > 0)]] / len(clean)
+
+    def machine(pos, heavy, neg, light):
         data = np.concatenate((pos, varied, neg, none))
         y = np.concatenate((np.ones(len(pos) + len(varied)), -np.ones(len(neg) + 1)))
-        cost = np.concatenate((np.full(len(pos), 1 / len(pos)), np.full(len(varied), 0.3 / len(varied)), np.full(len(neg), 2 / max(1, len(neg))), [1.0]))
+        cost = np.concatenate((4 * heavy / heavy.sum(), np.full(len(varied), 0.5 / len(varied)), light / max(1e-9, light.sum()), [1.0]))
         return _machine(data, y, cost)
 
-    w, bias = machine(positive, negative)
+    w, bias = machine(positive, often, negative, rarely)
     score = x @ w + bias
+
+    def worst(some):
+        return np.unique(np.array([t[np.argmax(score[t])] for t in some if len(t)], np.int64), return_counts=True)
+
     # the worst word of each toxic text is its positive, that of a clean one a negative
-    worst = lambda some: np.unique([t[np.argmax(score[t])] for t in some if len(t)]).astype(np.int64)
-    w, bias = machine(np.concatenate((positive, x[worst(texts[:nb])])), np.concatenate((negative, np.repeat(x[worst(texts[nb:])], 4, axis=0))))
+    (up, un), (down, dn) = worst(texts[:nb]), worst(texts[nb:])
+    w, bias = machine(np.concatenate((positive, x[up])), np.concatenate((often, un / un.sum())), np.concatenate((negative, x[down])), np.concatenate((rarely / max(1e-9, rarely.sum()), dn / dn.sum())))
     score = x @ w + bias
     m = np.array([score[t].max() if len(t) else bias for t in texts])
     truth = np.concatenate((np.ones(nb), np.zeros(len(clean))))
