@@ -111,18 +111,20 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule,
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, order: np.ndarray) -> list[Rule]:
     """Ordered rules for `bad` rows; `order` deals rows to growing (two of three) and pruning."""
     grow = order % 3 != 0
-    left, rules = np.ones(len(bad), dtype=bool), []
+    left, rules, banned = np.ones(len(bad), dtype=bool), [], set()
     while len(rules) < MAX_RULES:
         g, p = left & grow, left & ~grow
         if (g & bad).sum() < 3 or not p.any():
             break
-        rule = _grow({k: v[g] for k, v in x.items()}, bad[g])
+        rule = _grow({k: v[g] for k, v in x.items() if k not in banned}, bad[g])
         if not rule:
             break
+        first = rule[0].feature
         rule, precision = _prune(rule, {k: v[p] for k, v in x.items()}, bad[p])
         hit = _covers(rule, x) & left
         if precision < PRECISION or not (hit & bad & grow).any():
-            break
+            banned.add(first)  # the next rule begins elsewhere
+            continue
         rules.append(rule)
         left &= ~hit
     return rules

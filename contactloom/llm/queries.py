@@ -51,7 +51,64 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-_ALL = (op2_best_fit_packing, op3_suffix_dedup, op5_mixing, op6_substring_dedup, op7_exact_dedup, op8_minhash_dedup)
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each text, and whether a learned list of rules keeps it."""
+    from contactloom.llm.quality_rules import judge
+
+    out = judge(documents(spark, sf_dir), labels(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page, by the path that its host's pages agree on."""
+    from contactloom.llm.html_extract import main_texts
+
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each text, learned from labels that aren't held out."""
+    from contactloom.llm.toxicity import score_texts, train
+
+    docs = documents(spark, sf_dir)
+    return score_texts(docs, train(docs, labels(spark, sf_dir)))
+
+
+def graded(labels_: DataFrame) -> DataFrame:
+    """Ratings of three grades: 0 poor, 1 good but toxic, 2 good."""
+    from pyspark.sql import functions as F
+
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return labels_.filter("quality is not null").select("doc_id", grade.alias("grade"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of each text."""
+    from pyspark.sql import functions as F
+
+    from contactloom.llm.quality_model import grade_texts, train
+
+    docs = documents(spark, sf_dir)
+    out = grade_texts(docs, train(docs, graded(labels(spark, sf_dir))))
+    return out.select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_good"), F.get("tails", F.lit(1)).alias("p_best"), "kept")
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_best_fit_packing,
+    op3_suffix_dedup,
+    op4_html_extraction,
+    op5_mixing,
+    op6_substring_dedup,
+    op7_exact_dedup,
+    op8_minhash_dedup,
+    op9_toxicity,
+    op10_quality_classifier,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {

@@ -237,7 +237,7 @@ def fit(toxic: list[bytes], clean: list[bytes]) -> Model | None:
     length = np.array([len(w) for w in words])
     marked = np.flatnonzero((odds > 1.0) & (length >= ORDER) & (a >= max(2, 0.002 * nb)))
     # likely by chance: a word that is rare in toxic texts and hardly more frequent there
-    marked = marked[(a[marked] - b[marked] * nb / len(clean)) ** 2 > 9 * np.maximum(a[marked], 1) * 0.5]
+    marked = marked[(a[marked] - b[marked] * nb / len(clean)) ** 2 > 2.5 * np.maximum(a[marked], 1)]
     if not len(marked):
         return None
     order = sorted(marked.tolist(), key=lambda i: (-odds[i] * np.log1p(a[i]), words[i]))
