@@ -84,7 +84,9 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
             order = np.argsort(v, kind="stable")
             v, total = v[order], np.concatenate(([0], np.cumsum(b[order])))
             upto = np.searchsorted(v, cuts, "right")
-            for cut, k in zip(cuts.tolist(), upto.tolist(), strict=True):
+            # halfway to the next value that occurs
+            after = np.append(v, v[-1])[upto]
+            for cut, k in zip(((cuts + after) / 2).tolist(), upto.tolist(), strict=True):
                 for above, p, n in ((False, total[k], k - total[k]), (True, p0 - total[k], n0 - (k - total[k]))):
                     if p > 0 and p + n < p0 + n0:
                         g = p * (math.log2(p / (p + n)) - base)
