@@ -1 +1 @@
-
+"""Readers of logs, texts and archives."""
