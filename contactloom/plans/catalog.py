@@ -1,4 +1,6 @@
 """All registered queries of the engine and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from contactloom.plans import addresses, pipelines, relations  # noqa: F401  they register themselves
+from contactloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
