@@ -48,9 +48,10 @@ def guess_delimiter(spark: SparkSession, path: str) -> str:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = STATS) -> DataFrame:
     """JSON lines; a line that doesn't parse is dropped."""
-    df = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    # the corrupt column alone can't be asked for, so it is tested beside the others
-    return df.filter(F.col("_bad").isNull() | F.coalesce(*[F.col(f.name).isNotNull() for f in T.StructType.fromDDL(schema).fields])).filter(F.col("_bad").isNull()).drop("_bad")
+    # lines are parsed as values, so that any set of columns can be asked for afterwards
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    line = spark.read.text(path).select(F.from_json("value", schema + ", _bad string", options).alias("j"))
+    return line.filter("j is not null and j._bad is null").select("j.*").drop("_bad")
 
 
 def union_logs(*logs: DataFrame) -> DataFrame:
