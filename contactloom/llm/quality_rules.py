@@ -31,7 +31,6 @@ FEATURES = {
     "chars_per_word": ("word_chars", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
-    "distinct_share": ("n_distinct_words", "n_words"),
     "upper_share": ("n_upper", "n_letters"),
     "digits_per_word": ("n_digits", "n_words"),
     "marks_per_word": ("n_marks", "n_words"),
@@ -158,8 +157,13 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run, _SCHEMA)
 
 
+def base_failed() -> Column:
+    """Fewer than 10 words, or more than a fifth of the words in repeated 5-word windows."""
+    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+
+
 def learned_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules for quality 0, from at most `sample` labelled rows.
+    """Rules for quality 0, from at most `sample` labelled rows that pass the base tests.
 
     Labels with a null id or quality are left out; without rows of both kinds
     there are no rules.
@@ -167,7 +171,7 @@ def learned_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(sample)
-    rows = stats.join(known, "doc_id").select("h", "quality", *[c.alias(k) for k, c in features().items()]).dropDuplicates(["h"]).orderBy("h").limit(sample).toPandas()
+    rows = stats.filter(~base_failed()).join(known, "doc_id").select("h", "quality", *[c.alias(k) for k, c in features().items()]).dropDuplicates(["h"]).orderBy("h").limit(sample).toPandas()
     bad = (rows["quality"] == 0).to_numpy()
     if not bad.any() or bad.all():
         return []
@@ -185,6 +189,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     stats = checkpoint(text_statistics(docs, id_col, text_col))
     rules = learned_rules(stats, labels, sample)
-    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    out = stats.withColumns({"base_failed": failed, "rule": as_column(rules)})
+    out = stats.withColumns({"base_failed": base_failed(), "rule": as_column(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
