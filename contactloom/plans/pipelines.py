@@ -121,8 +121,8 @@ def stream_reservations(spark, d):
     from contactloom.streaming.logs import reserve
 
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    # orders by key and time, as files of a log
-    table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts")).repartition(1).write.parquet(f"{folder}/in")
+    # files of a log, read in one trigger
+    table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts")).write.parquet(f"{folder}/in")
     s = reserve(spark.readStream.schema("key string, ts timestamp").parquet(f"{folder}/in"), 180)
     s.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("key string, accepted_at timestamp").parquet(f"{folder}/out").select(F.col("key").cast("long").alias("o_custkey"), "accepted_at")
