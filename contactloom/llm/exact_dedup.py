@@ -74,5 +74,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay; of rows that repeat id and text one stays."""
-    stay = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col, text_col])
+    stay = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stay"))
+    out = docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    # rows are only compared as a whole where an id occurs again
+    again = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
+    return out.withColumn("_low", F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)).dropDuplicates([id_col, "_low"]).drop("_low") if again else out

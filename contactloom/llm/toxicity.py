@@ -14,6 +14,7 @@ words is left out first, and runs of single characters ("i d i o t") are words,
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass, field
 
@@ -62,9 +63,9 @@ def _subsequences(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
 
 def _letters(flat: np.ndarray) -> np.ndarray:
     """Sets of a word's bytes, as 64 bits by a fixed hash."""
-    bit = np.left_shift(np.uint64(1), (flat.astype(np.uint64) * np.uint64(37)) % np.uint64(64))
-    bit[flat == 0] = 0
-    return np.bitwise_or.reduce(bit, axis=1)
+    bits = np.left_shift(np.uint64(1), (np.arange(256, dtype=np.uint64) * np.uint64(37)) % np.uint64(64))
+    bits[0] = 0
+    return np.bitwise_or.reduce(bits[flat], axis=1)
 
 
 def _self(flat: np.ndarray, size: int = 2000) -> np.ndarray:
@@ -91,14 +92,18 @@ class Landmarks:
         self.need = np.ceil(0.8 * np.array([bin(x).count("1") for x in self.letters.tolist()])).astype(np.int64)
         self.own = _self(self.flat)
         if self.map is None:
-            k = self.kernel(self.words)
+            k = self.kernel(self.words).astype(float)
             k = (k + k.T) / 2
             value, vector = np.linalg.eigh(k)
             keep = value > 1e-3
             self.map = vector[:, keep] / np.sqrt(value[keep])
 
-    def kernel(self, words: list[bytes]) -> np.ndarray:
+    def kernel(self, words: list[bytes], size: int = 20_000) -> np.ndarray:
         """Normalised kernels, a row for each word; longer words by their best slice."""
+        parts = [self._kernel(words[i : i + size]) for i in range(0, len(words), size)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.words)), np.float32)
+
+    def _kernel(self, words: list[bytes]) -> np.ndarray:
         cut, owner = [], []
         for i, w in enumerate(words):
             for a in range(0, max(1, len(w) - LENGTH // 2), LENGTH // 2):
@@ -106,7 +111,7 @@ class Landmarks:
                 owner.append(i)
         flat, n = _table(cut, LENGTH)
         letters, owner = _letters(flat), np.array(owner)
-        out = np.zeros((len(words), len(self.words)))
+        out = np.zeros((len(words), len(self.words)), np.float32)
         own = np.zeros(len(cut))
         known = np.zeros(len(cut), dtype=bool)
         for m in range(len(self.words)):
@@ -120,7 +125,7 @@ class Landmarks:
                     known[new] = True
                 t = np.broadcast_to(self.flat[m, : self.size[m]], (len(h), self.size[m]))
                 k = _subsequences(_squeeze(flat[h], n[h]), t) / np.sqrt(np.maximum(own[h] * self.own[m], 1e-12))
-                np.maximum.at(out[:, m], owner[h], k**POWER)
+                np.maximum.at(out[:, m], owner[h], (k**POWER).astype(np.float32))
         return out
 
     def vectors(self, words: list[bytes]) -> np.ndarray:
@@ -190,15 +195,15 @@ class Model:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Nesterov's method."""
-    x1 = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    x1 = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1)
     w = v = np.zeros(x1.shape[1])
-    rate = 1 / (1 + 2 * (cost[:, None] * x1 * x1).sum())
+    rate = 1 / (1 + 2 * (cost * np.einsum("ij,ij->i", x1, x1)).sum())
     lam = np.full(x1.shape[1], 1e-3)
     lam[-1] = 0
     t = 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        g = lam * v - 2 * x1.T @ (cost * y * slack)
+        slack = np.maximum(0, 1 - y * (x1 @ v.astype(x1.dtype)))
+        g = lam * v - 2 * (x1.T @ (cost * y * slack).astype(x1.dtype))
         new = v - rate * g
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
@@ -243,37 +248,42 @@ def fit(toxic: list[bytes], clean: list[bytes]) -> Model | None:
     order = sorted(marked.tolist(), key=lambda i: (-odds[i] * np.log1p(a[i]), words[i]))
     known = {words[i] for i in order}
     marks = Landmarks(_landmarks([words[i] for i in order]))
-    k = marks.kernel(words).astype(np.float32)
-    live = np.flatnonzero(k.any(axis=1))
-    x = np.zeros((v, marks.map.shape[1]), np.float32)
-    x[live] = k[live] @ marks.map
+    # vectors of the words that some landmark has a kernel with; all others are one point, the last row
+    rows, place = [], np.full(v, -1, np.int64)
+    for c in range(0, v, 20_000):
+        k = marks.kernel(words[c : c + 20_000])
+        live = np.flatnonzero(k.any(axis=1))
+        place[c + live] = sum(map(len, rows)) + np.arange(len(live))
+        rows.append((k[live] @ marks.map).astype(np.float32))
+    x = np.concatenate((*rows, np.zeros((1, marks.map.shape[1]), np.float32)))
+    del rows, k
+    live = np.flatnonzero(place >= 0)
     is_marked = np.zeros(v, dtype=bool)
     is_marked[order] = True
-    varied = marks.vectors(sorted({u for w in known for u in _varied(w)} - set(words)) or [b"?"])
-    positive, negative = x[is_marked], x[live[~is_marked[live] & (b[live] > 0)]]
-    # words that no landmark has a kernel with are one point
-    none = np.zeros((1, x.shape[1]))
+    varied = marks.vectors(sorted({u for w in known for u in _varied(w)} - set(words)) or [b"?"]).astype(np.float32)
+    own = live[~is_marked[live] & (b[live] > 0)]
+    positive, negative = place[is_marked], place[own]
 
     # words weigh by the texts that they occur in
     often = a[is_marked] / a[is_marked].sum()
-    rarely = b[live[~is_marked[live] & (b[live] > 0)]] / len(clean)
+    rarely = b[own] / len(clean)
 
     def machine(pos, heavy, neg, light):
-        data = np.concatenate((pos, varied, neg, none))
+        data = np.concatenate((x[pos], varied, x[neg], x[-1:]))
         y = np.concatenate((np.ones(len(pos) + len(varied)), -np.ones(len(neg) + 1)))
         cost = np.concatenate((4 * heavy / heavy.sum(), np.full(len(varied), 0.5 / len(varied)), light / max(1e-9, light.sum()), [1.0]))
         return _machine(data, y, cost)
 
     w, bias = machine(positive, often, negative, rarely)
-    score = x @ w + bias
+    score = (x @ w + bias)[place]
 
     def worst(some):
         return np.unique(np.array([t[np.argmax(score[t])] for t in some if len(t)], np.int64), return_counts=True)
 
     # the worst word of each toxic text is its positive, that of a clean one a negative
     (up, un), (down, dn) = worst(texts[:nb]), worst(texts[nb:])
-    w, bias = machine(np.concatenate((positive, x[up])), np.concatenate((often, un / un.sum())), np.concatenate((negative, x[down])), np.concatenate((rarely / max(1e-9, rarely.sum()), dn / dn.sum())))
-    score = x @ w + bias
+    w, bias = machine(np.concatenate((positive, place[up])), np.concatenate((often, un / un.sum())), np.concatenate((negative, place[down])), np.concatenate((rarely / max(1e-9, rarely.sum()), dn / dn.sum())))
+    score = (x @ w + bias)[place]
     m = np.array([score[t].max() if len(t) else bias for t in texts])
     truth = np.concatenate((np.ones(nb), np.zeros(len(clean))))
     # the threshold that errs least, and a slope for probabilities
@@ -301,8 +311,70 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.filter("toxic = 1").orderBy("h").limit(sample).union(known.filter("toxic = 0").orderBy("h").limit(sample))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(some, "doc_id")
-    got = got.dropDuplicates(["doc_id"]).orderBy("h").limit(2 * sample).select("text", "toxic").collect()
-    return fit([r.text.encode() for r in got if r.toxic == 1], [r.text.encode() for r in got if r.toxic == 0])
+    got = got.dropDuplicates(["doc_id"]).orderBy("h").limit(2 * sample).select("h", "toxic", "text")
+
+    def run(batches):
+        rows = sorted((h, t, x) for batch in batches for h, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        toxic, clean = ([x.encode() for _, t, x in rows if t == k] for k in (1, 0))
+        del rows
+        model = fit(toxic, clean)
+        yield pa.RecordBatch.from_arrays([pa.array([] if model is None else [pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task fits the model, and the driver holds no texts
+    found = got.mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else None
+
+
+class Scorer:
+    """Scores columns of texts; remembers the margins of words."""
+
+    #: Bytes of text whose words are held at a time.
+    HELD = 4 << 20
+
+    def __init__(self, model: Model | None):
+        self.model = model
+        if model is not None:
+            self.margins, self.poly = model.scorer(), B.Poly(17)
+        self.known_h, self.known_m = np.zeros(0, np.uint64), np.zeros(0)
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        out = np.zeros(len(column))
+        if self.model is None:
+            return out
+        parts, fresh, held = [], {}, 0
+        for i, data, at in B.chunks(column):
+            rows, size = len(at) - 1, len(data)
+            data, s, e, row = candidates(data, at)
+            h = self.poly.slices(self.poly.sums(self.poly.table[data]), s, e)
+            u, first, back = np.unique(h, return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.known_h, u), max(0, len(self.known_h) - 1))
+            new = self.known_h[place] != u if len(self.known_h) else np.ones(len(u), dtype=bool)
+            raw, f = data.tobytes(), first[new]
+            for k, a, b in zip(u[new].tolist(), s[f].tolist(), e[f].tolist(), strict=True):
+                if k not in fresh:
+                    fresh[k] = raw[a:b]
+            parts.append((i, rows, u, back.astype(np.int32), row.astype(np.int32)))
+            held += size
+            if held >= self.HELD:
+                self._flush(parts, fresh, out)
+                parts, fresh, held = [], {}, 0
+        self._flush(parts, fresh, out)
+        return out
+
+    def _flush(self, parts: list, fresh: dict, out: np.ndarray) -> None:
+        if fresh:
+            if len(self.known_h) > MEMORY:
+                used = np.isin(self.known_h, np.concatenate([p[2] for p in parts]))
+                self.known_h, self.known_m = self.known_h[used], self.known_m[used]
+            h = np.concatenate((self.known_h, np.fromiter(fresh, np.uint64, len(fresh))))
+            m = np.concatenate((self.known_m, self.margins(list(fresh.values()))))
+            order = np.argsort(h, kind="stable")
+            self.known_h, self.known_m = h[order], m[order]
+        for i, rows, u, back, row in parts:
+            worst = np.full(rows, self.model.bias)
+            if len(u):
+                np.maximum.at(worst, row, self.known_m[np.searchsorted(self.known_h, u)][back])
+            out[i : i + rows] = self.model.probability(worst)
 
 
 def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,36 +387,9 @@ def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
     """
 
     def run(batches):
-        if model is not None:
-            margins, poly, none = model.scorer(), B.Poly(17), model.bias
-            known_h, known_m = np.zeros(0, np.uint64), np.zeros(0)
+        scorer = Scorer(model)
         for batch in batches:
-            n = len(batch)
-            score = np.zeros(n)
-            if model is not None:
-                parts, fresh = [], {}
-                for i, data, at in B.chunks(batch.column(1)):
-                    data, s, e, row = candidates(data, at)
-                    h = poly.slices(poly.sums(poly.table[data]), s, e)
-                    u, first, back = np.unique(h, return_index=True, return_inverse=True)
-                    place = np.minimum(np.searchsorted(known_h, u), max(0, len(known_h) - 1))
-                    new = known_h[place] != u if len(known_h) else np.ones(len(u), dtype=bool)
-                    raw, f = data.tobytes(), first[new]
-                    for k, a, b in zip(u[new].tolist(), s[f].tolist(), e[f].tolist(), strict=True):
-                        if k not in fresh:
-                            fresh[k] = raw[a:b]
-                    parts.append((i, len(at) - 1, u, back, row))
-                if fresh:
-                    old = np.isin(known_h, np.concatenate([p[2] for p in parts])) if len(known_h) > MEMORY else np.ones(len(known_h), dtype=bool)
-                    known_h = np.concatenate((known_h[old], np.fromiter(fresh, np.uint64, len(fresh))))
-                    known_m = np.concatenate((known_m[old], margins(list(fresh.values()))))
-                    order = np.argsort(known_h, kind="stable")
-                    known_h, known_m = known_h[order], known_m[order]
-                for i, size, u, back, row in parts:
-                    worst = np.full(size, none)
-                    if len(u):
-                        np.maximum.at(worst, row, known_m[np.searchsorted(known_h, u)][back])
-                    score[i : i + size] = model.probability(worst)
+            score = scorer.scores(batch.column(1))
             ids = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x is not None and held_out(x) for x in ids], pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -353,3 +398,15 @@ def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows that aren't predicted to be toxic, all columns as they are; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

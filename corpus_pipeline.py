@@ -16,14 +16,12 @@ from contactloom.llm.exact_dedup import drop_exact_duplicates
 from contactloom.llm.minhash import near_duplicates
 from contactloom.llm.mixing import mixed_documents
 from contactloom.llm.packing import pack_documents
-from contactloom.llm.toxicity import score_texts, train
+from contactloom.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keep = score_texts(docs, model).filter("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8."""
-    keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +51,20 @@ STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("MinHash near-d
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete what a stage wrote, wherever the folder is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what lies between them goes to the shared folder."""
+    """All stages over `documents`; what lies between them goes to the shared folder until it is read."""
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _drop(spark, f"{folder}/{i - 1}")
     return docs
