@@ -23,8 +23,9 @@ from contactloom.llm import blocks as B
 from contactloom.llm.components import components
 
 K, CHUNKS = 64, 11
-#: Members of a cell that are compared at a time.
-BLOCK = 2048
+#: Members of a block of a cell at least; larger cells have blocks of SPREAD times the root of their size,
+#: so both a task and the number of blocks that a member goes to grow with the root.
+BLOCK, SPREAD = 256, 6
 SHINGLES = "rid long, doc_id long, n_shingles long, set_hash binary, signature binary"
 
 _CUTS = [(i * K // CHUNKS, (i + 1) * K // CHUNKS) for i in range(CHUNKS)]
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = components(near)
     # blocks of a cell meet in pairs; a cell of one block is a single task
     sizes = cells.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("members") / F.greatest(F.lit(BLOCK), F.ceil(F.sqrt("members") * SPREAD))).cast("int"))
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     placed = cells.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")).join(sizes, ["component", "salt"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
