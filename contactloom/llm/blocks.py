@@ -243,6 +243,25 @@ def exchange(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("bucket"))
 
 
+def tidy(run):
+    """`run`, giving memory back when its task ends: workers stay, and the next stage needs it."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import contextlib
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

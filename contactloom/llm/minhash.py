@@ -259,12 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     n = B.partitions(spark)
     rows = B.ordered_rows(docs, id_col, text_col)
-    sketch = B.checkpoint(rows.mapInArrow(_sketch(width), SHINGLES))
+    sketch = B.checkpoint(rows.mapInArrow(B.tidy(_sketch(width)), SHINGLES))
     # equal sets are linked, and one document stands for them from here on
     same = sketch.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     same = B.checkpoint(same)
-    keys = same.select("head", "signature").mapInArrow(_deal_keys(n), B.BLOB)
-    near = B.exchange(keys, n).mapInArrow(_meet, "a long, b long").distinct()
+    keys = same.select("head", "signature").mapInArrow(B.tidy(_deal_keys(n)), B.BLOB)
+    near = B.exchange(keys, n).mapInArrow(B.tidy(_meet), "a long, b long").distinct()
     cells = components(near)
     # blocks of a cell meet in pairs; a cell of one block is a single task
     sizes = cells.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -273,12 +273,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = cells.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")).join(sizes, ["component", "salt"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     texts = rows.join(placed.select(F.col("node").alias("rid"), "component", "block", "blocks").hint("shuffle_hash"), "rid")
-    sets = texts.select("rid", "text", "component", "block", "blocks").mapInArrow(_sets_of(width), "rid long, component long, block int, blocks int, shingles binary")
+    sets = texts.select("rid", "text", "component", "block", "blocks").mapInArrow(B.tidy(_sets_of(width)), "rid long, component long, block int, blocks int, shingles binary")
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = sets.withColumn("other", pair).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     met = met.withColumn("bucket", F.pmod(F.xxhash64("component", "one", "two"), F.lit(n)).cast("int"))
     met = B.exchange(met, n).select("component", "one", "two", "block", "rid", "shingles")
-    links = met.mapInArrow(_confirm(width, percent), "a long, b long")
+    links = met.mapInArrow(B.tidy(_confirm(width, percent)), "a long, b long")
     final = components(links)
     # a document takes the component of the one that stands for its set
     label = same.join(final, F.col("head") == F.col("node"), "left").select("set_hash", "head", "copies", F.coalesce("component", "head").alias("component_id"))

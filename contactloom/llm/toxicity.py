@@ -321,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([] if model is None else [pickle.dumps(model)], pa.binary())], names=["model"])
 
     # the sample is bounded, so one task fits the model, and the driver holds no texts
-    found = got.mapInArrow(run, "model binary").collect()
+    found = got.mapInArrow(B.tidy(run), "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
 
 
@@ -397,7 +397,7 @@ def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
             )
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return base.mapInArrow(B.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -409,4 +409,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(B.tidy(run), docs.schema)
