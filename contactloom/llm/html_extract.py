@@ -39,6 +39,14 @@ MARKS = set(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidebars side rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination toc footer foot masthead header topbar toolbar comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login search form skip copyright disclaimer complementary contentinfo".split()
 )
 MAIN = set("article main content articlebody post entry story".split())
+#: Words beside marks in names of boxes ("left-sidebar"); any other word makes a name a slug or a flag ("side-effects", "has-sidebar").
+LAYOUT = set("area block body bottom box button buttons col column container header icon icons inner item items left link links list outer panel posts primary right row secondary section site slot top unit wrap wrapper".split())
+#: Marks that parts of an article have, too: text elements anywhere, and notes inside article or main, aren't dropped for them.
+SOFT = set("alert banner disclaimer form menu notice notices related reply search side skip social toc widget".split())
+NOTES = set("alert disclaimer notice notices side".split())
+TEXTUAL = set("a abbr b blockquote cite code em h1 h2 h3 h4 h5 h6 i mark p pre q small span strong time".split())
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
+REPLIES = set("comment comments commentlist disqus respond reply replies".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALL = set("ul ol dl table body html div section article main td th".split())
 
@@ -52,30 +60,68 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "parent", "own", "score", "bonus", "held")
+    __slots__ = ("tag", "path", "dropped", "parent", "own", "score", "bonus", "held", "fixed", "mark", "inner")
 
     def __init__(self, tag, path, dropped, parent, bonus):
         self.tag, self.path, self.dropped, self.parent, self.bonus = tag, path, dropped, parent, bonus
         self.own, self.score, self.held = 0.0, 0.0, False
+        self.fixed, self.mark, self.inner = False, None, False
 
 
-def _attributes(text: str) -> tuple[str, set[str]]:
-    """First class, digits made alike, and the words of class, id and role."""
-    first, words = "", set()
+class _Mark:
+    """An element whose name marks it: letters outside links, and headings or articles, that it holds."""
+
+    __slots__ = ("up", "words", "size", "titles", "mains", "articles")
+
+    def __init__(self, up, words):
+        self.up, self.words = up, words
+        self.size = self.titles = self.mains = self.articles = 0
+
+
+def _attributes(text: str) -> tuple[str, set[str], set[str], set[str]]:
+    """First class, digits made alike, the words of class, id and role, and the marks that name the
+    element by class or role, and by id: those of names made of marks and words of layout only."""
+    first, words, named, by_id = "", set(), set(), set()
     for name, value in _NAMED.findall(text):
-        value = value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'").lower()
+        for token in value.split():
+            parts = {w for w in _WORD.findall(token) if len(w) > 1}
+            if parts & MARKS and parts <= MARKS | LAYOUT:
+                (by_id if name == "id" else named).update(parts & MARKS)
         words.update(_WORD.findall(value))
-        if name.lower() == "class" and value.split():
+        if name == "class" and value.split():
             first = _DIGITS.sub("#", value.split()[0])
-    return first, words
+    return first, words, named, by_id
+
+
+def _marks(tag: str, words: set[str], named: set[str], by_id: set[str], inner: bool) -> set[str]:
+    """The marks an element may be dropped for; ids of headings and inside an article are slugs."""
+    if tag in ("body", "html") or words & MAIN:
+        return set()
+    found = named if inner or tag in HEADING else named | by_id
+    if found and (tag in TEXTUAL and found <= SOFT or inner and found <= NOTES):
+        return set()
+    return found
 
 
 class Page:
-    """Containers and blocks of a page: blocks are (container, text, letters in links)."""
+    """Containers and blocks of a page: blocks are (container, text, letters in links).
+
+    An element that its name marks is dropped unless it is where the page's text is;
+    pages with such a one are parsed again with it kept.
+    """
 
     def __init__(self, html: str):
+        kept = self._parse(html, frozenset())
+        if kept:
+            self._parse(html, kept)
+
+    def _parse(self, html: str, kept: frozenset) -> frozenset:
+        """The page without marked elements, but for those whose numbers are kept; the numbers that should be."""
         root = _Node("", "", False, None, False)
         self.nodes, self.blocks = [root], []
+        marks, whole = [], _Mark(None, set())
+        root.mark = whole
         stack, box, pieces, linked, links = [root], root, [], 0, 0
 
         def flush():
@@ -89,7 +135,10 @@ class Page:
 
         def text(raw):
             nonlocal linked
-            if raw and not stack[-1].dropped:
+            top = stack[-1]
+            if raw and not top.fixed and not links:
+                top.mark.size += len(raw.strip())
+            if raw and not top.dropped:
                 raw = unescape(raw) if "&" in raw else raw
                 pieces.append(raw)
                 if links:
@@ -164,13 +213,23 @@ class Page:
                         break
                     if stack[k].tag in WALL and stack[k].tag not in ("td", "th"):
                         break
-            first, words = _attributes(rest) if rest else ("", set())
+            first, words, named, by_id = _attributes(rest) if rest else ("", set(), set(), set())
             up = stack[-1]
-            inside = any(n.tag in ("article", "main") for n in stack) if tag == "header" else False
-            dropped = up.dropped or tag in DROPPED or (tag == "header" and not inside) or bool(words & MARKS and not words & MAIN and tag not in ("body", "html"))
+            fixed = up.fixed or tag in DROPPED or (tag == "header" and not up.inner)
+            found = set() if fixed or not (named or by_id) else _marks(tag, words, named, by_id, up.inner)
+            mark = up.mark
+            if found:
+                mark = _Mark(up.mark, found)
+                marks.append(mark)
+            if not fixed:
+                mark.titles += tag == "h1"
+                mark.mains += tag == "main"
+                mark.articles += tag == "article"
+            dropped = up.dropped or fixed or bool(found and len(marks) - 1 not in kept)
             path = up.path if tag in ("html", "body") or tag not in BLOCK else f"{up.path}>{tag}.{first}" if first else f"{up.path}>{tag}"
             node = _Node(tag, path, dropped, box, tag in ("article", "main") or bool(words & {"articlebody", "main"}))
             node.held = tag in CONTAINER
+            node.fixed, node.mark, node.inner = fixed, mark, up.inner or tag in ("article", "main")
             stack.append(node)
             if tag == "a":
                 links += 1
@@ -183,6 +242,10 @@ class Page:
             n.score += n.own * (1.25 if n.bonus else 1.0)
             if n.parent is not None:
                 n.parent.score += INHERIT * n.score
+        for m in reversed(marks):
+            for x in ("size", "titles", "mains", "articles"):
+                setattr(m.up, x, getattr(m.up, x) + getattr(m, x))
+        return frozenset(i for i, m in enumerate(marks) if _holds_page(m, whole))
 
     def best(self) -> _Node:
         """The container of the largest score; the outer one of equals."""
@@ -203,6 +266,16 @@ class Page:
         return "\n".join(t for n, t in self.blocks if _within(n, chosen))
 
 
+def _holds_page(m: _Mark, whole: _Mark) -> bool:
+    """Whether a marked element holds most of a page's text and no article lies elsewhere."""
+    if 2 * m.size <= whole.size:
+        return False
+    if m.mains or m.size == whole.size:
+        return True
+    heads = m.titles + m.articles
+    return not m.words & REPLIES and (m.titles > 0 or whole.titles + whole.mains + whole.articles == heads)
+
+
 def _within(node: _Node | None, chosen: set) -> bool:
     while node is not None:
         if node in chosen:

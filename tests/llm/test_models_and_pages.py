@@ -284,3 +284,17 @@ def test_pipeline_against_brute_force(spark, tmp_path, insulted):
     assert all(abs(mixed[s] - target[s]) <= 0.02 * target[s] + 2 for s in target)
     assert steps[4].agg(F.count_distinct("doc_id").alias("n")).first().n <= len(some)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == steps[4].count()
+
+
+def test_names_that_only_hold_marks_drop_nothing():
+    body = '<h2 id="side-effects">Effects</h2><section id="related-work"><p>work</p></section><section id="social-history"><h3 id="search">past</h3></section><div id="form">shape</div><p class="notice">note</p><div class="alert">care</div>'
+    text = "Effects\nwork\npast\nshape\nnote\ncare"
+    boxes = '<div class="ad">buy</div><div class="left-sidebar">side</div><div class="share-buttons">tell</div><div class="comments">said</div>'
+    assert Page(f"<article>{body}{boxes}</article>").text(None) == text
+    for name in ("site has-sidebar", "page no-sidebar", "widget", "banner", "sidebar-right"):
+        long = "words of the article " * 5
+        page = Page(f'<div class="{name}"><h1>Head</h1><p>{long}</p>{boxes}</div><div id="cookie-notice">cookies</div>')
+        assert page.text(None) == f"Head\n{long.strip()}"
+    # many comments don't make them the article; a long list of links neither
+    assert Page('<article>short</article><div class="comments">' + "<p>said a lot</p>" * 50 + "</div>").text(None) == "short"
+    assert Page("<div>short</div><div class='sidebar'>" + "<a href='/x'>some link</a> " * 50 + "</div>").text(None) == "short"
