@@ -1,8 +1,9 @@
 """Main text of web pages by paths on which the pages of a host agree.
 
-Each page's containers are scored by the text of their blocks, less links, and
-the page votes with its best container's generalised path (tags and classes,
-digits made alike).  Spark sums the votes for each host and path; every page is
+Each page's containers are scored by the text of their blocks, less links; from
+the whole page one goes down to the largest container for as long as what lies
+outside it isn't text of the article, however long the page.  The page votes with
+that container's generalised path (tags and classes, digits made alike).  Spark sums the votes for each host and path; every page is
 then read again by its host's winning path, or by its own best one where the
 page has no such container.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 #: Hosts whose paths are broadcast at most (about 100 bytes each).
 HOSTS = 100_000
 SALT = 16
-#: What a container is worth to the one around it.
-INHERIT = 0.97
+#: Letters outside links that make a block beside a container a paragraph.
+PROSE = 70
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,12 +61,13 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "parent", "own", "score", "bonus", "held", "fixed", "mark", "inner")
+    __slots__ = ("tag", "path", "dropped", "parent", "own", "score", "bonus", "held", "fixed", "mark", "inner", "prose", "title", "main", "below")
 
     def __init__(self, tag, path, dropped, parent, bonus):
         self.tag, self.path, self.dropped, self.parent, self.bonus = tag, path, dropped, parent, bonus
         self.own, self.score, self.held = 0.0, 0.0, False
         self.fixed, self.mark, self.inner = False, None, False
+        self.prose, self.title, self.main, self.below = 0.0, 0.0, 0.0, []
 
 
 class _Mark:
@@ -130,7 +132,11 @@ class Page:
                 text = " ".join("".join(pieces).split())
                 if text and not stack[-1].dropped:
                     self.blocks.append((box, text))
-                    box.own += max(0, len(text) - 2 * linked)
+                    own = max(0, len(text) - 2 * linked)
+                    box.own += own
+                    box.prose += own if own >= PROSE else 0
+                    if any(n.tag == "h1" for n in stack):
+                        box.title += len(text) if box.inner == "article" else own
                 pieces, linked = [], 0
 
         def text(raw):
@@ -229,7 +235,7 @@ class Page:
             path = up.path if tag in ("html", "body") or tag not in BLOCK else f"{up.path}>{tag}.{first}" if first else f"{up.path}>{tag}"
             node = _Node(tag, path, dropped, box, tag in ("article", "main") or bool(words & {"articlebody", "main"}))
             node.held = tag in CONTAINER
-            node.fixed, node.mark, node.inner = fixed, mark, up.inner or tag in ("article", "main")
+            node.fixed, node.mark, node.inner = fixed, mark, "article" if "article" in (tag, up.inner) else "main" if tag == "main" else up.inner
             stack.append(node)
             if tag == "a":
                 links += 1
@@ -239,17 +245,24 @@ class Page:
                     self.nodes.append(node)
         flush()
         for n in reversed(self.nodes):
-            n.score += n.own * (1.25 if n.bonus else 1.0)
-            if n.parent is not None:
-                n.parent.score += INHERIT * n.score
+            n.score += n.own
+            up = n.parent
+            if up is not None:
+                up.score, up.prose, up.title, up.main = up.score + n.score, up.prose + n.prose, up.title + n.title, up.main + (n.score if n.bonus else n.main)
+                up.below.append(n)
         for m in reversed(marks):
             for x in ("size", "titles", "mains", "articles"):
                 setattr(m.up, x, getattr(m.up, x) + getattr(m, x))
         return frozenset(i for i, m in enumerate(marks) if _holds_page(m, whole))
 
     def best(self) -> _Node:
-        """The container of the largest score; the outer one of equals."""
-        return max(self.nodes, key=lambda n: n.score)
+        """The innermost container that leaves out no text of the article."""
+        node = self.nodes[0]
+        while True:
+            child = max(reversed(node.below), key=lambda n: n.score, default=None)
+            if child is None or not child.score or _leaves_out(node, child):
+                return node
+            node = child
 
     def votes(self) -> tuple[str, float]:
         top = self.best()
@@ -266,6 +279,17 @@ class Page:
         return "\n".join(t for n, t in self.blocks if _within(n, chosen))
 
 
+def _leaves_out(node: _Node, child: _Node) -> bool:
+    """Whether what lies in a container outside the largest one in it is text of the article."""
+    outside = node.score - child.score
+    if node.title > child.title or (outside and node.inner == "article"):
+        return True
+    if child.bonus:
+        # the page says where its article is; other articles count, and what stands beside it in main
+        return bool(node.inner and node.own) or node.main > child.score or outside > child.score
+    return outside > 0 and bool(node.inner or node.own or node.prose > child.prose)
+
+
 def _holds_page(m: _Mark, whole: _Mark) -> bool:
     """Whether a marked element holds most of a page's text and no article lies elsewhere."""
     if 2 * m.size <= whole.size:

@@ -298,3 +298,18 @@ def test_names_that_only_hold_marks_drop_nothing():
     # many comments don't make them the article; a long list of links neither
     assert Page('<article>short</article><div class="comments">' + "<p>said a lot</p>" * 50 + "</div>").text(None) == "short"
     assert Page("<div>short</div><div class='sidebar'>" + "<a href='/x'>some link</a> " * 50 + "</div>").text(None) == "short"
+
+
+@pytest.mark.parametrize("size", [10, 200, 5000])
+def test_title_and_lead_stay_however_long_the_body(size):
+    title, lead, body = "A title of the article that has about sixty characters in it", "a lead " * 28, "<p>" + "</p><p>".join(["body words"] * size) + "</p>"
+    want = "\n".join([title, lead.strip()] + ["body words"] * size)
+    around = '<nav>menu</nav><div class="links">' + "<a href='/x'>some link</a> " * 30 + "</div>"
+    for inner in (f"<h1>{title}</h1><p>{lead}</p><div>{body}</div>", f'<h1>{title}</h1><div class="lead">{lead}</div><div>{body}</div>', f'<h1><b>{title}</b></h1><div><p>{lead}</p><div class="text">{body}</div></div>'):
+        for outer in ("article", "main", "div", 'div class="wrap"'):
+            page = Page(f"{around}<{outer}>{inner}</{outer.split()[0]}>{around}")
+            assert page.text(None) == want and page.text(page.votes()[0]) == want
+    # what stands outside an article that the page names isn't part of it, but other articles are
+    page = Page(f"<div><div>A word on this site.</div><article><h1>{title}</h1><div>{body}</div></article></div>")
+    assert page.text(None) == "\n".join([title] + ["body words"] * size)
+    assert Page(f"<main><article>{body}</article><article>two</article></main>").text(None).endswith("words\ntwo")
