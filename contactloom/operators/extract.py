@@ -135,12 +135,21 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 
 def name_pairs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Two capitalised words side by side, in both orders."""
-    w = "[A-ZА-ЯЁ][a-zа-яё]+(?:-[A-ZА-ЯЁ][a-zа-яё]+)?"
-    pairs = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{w} {w}"), F.lit(0))).alias("pair"))
-    a, b = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
-    one = pairs.select(key, a.alias("first"), b.alias("last"))
-    return one.unionByName(pairs.select(key, b.alias("first"), a.alias("last"))).distinct()
+    """Capitalised words side by side and initials with a name, in both orders, letters of any script.
+
+    A run of words gives each two neighbours, a run of three its ends, too.
+    """
+    w = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+    head, tail = r"(?<![\p{L}\p{M}.-])", r"(?![\p{L}\p{M}-])"
+    t = F.col(text)
+    words = df.select(key, F.explode(F.regexp_extract_all(t, F.lit(rf"(?<![\p{{L}}\p{{M}}-]){w}(?:[ \t]+{w})+{tail}"), F.lit(0))).alias("run")).select(key, F.split("run", "[ \\t]+").alias("a"))
+    ends = F.when(F.size("a") == 3, F.array(F.struct(F.get("a", F.lit(0)).alias("first"), F.get("a", F.lit(2)).alias("last"))))
+    next_to = F.transform(F.sequence(F.lit(1), F.size("a") - 1), lambda i: F.struct(F.get("a", i - 1).alias("first"), F.get("a", i).alias("last")))
+    found = words.select(key, F.explode(F.concat(next_to, F.coalesce(ends, F.array().cast("array<struct<first:string,last:string>>")))).alias("p")).select(key, "p.first", "p.last")
+    for shape in (rf"(?<![\p{{L}}\p{{M}}-]){w}[ \t]+\p{{Lu}}\.", rf"{head}\p{{Lu}}\.[ \t]*(?:\p{{Lu}}\.[ \t]*)?{w}{tail}"):
+        m = df.select(key, F.explode(F.regexp_extract_all(t, F.lit(shape), F.lit(0))).alias("m"))
+        found = found.unionByName(m.select(key, F.regexp_extract("m", r"(\p{Lu})\.", 1).alias("first"), F.regexp_extract("m", w, 0).alias("last")))
+    return found.unionByName(found.select(key, F.col("last").alias("first"), F.col("first").alias("last"))).distinct()
 
 
 def corrections(lines: DataFrame, key: str, text: str = "line") -> DataFrame:
