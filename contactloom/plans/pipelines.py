@@ -70,6 +70,32 @@ def url_ingest_summary(spark, d):
     return X.links(table(spark, d, "pages").select("page_id", "html")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ingest_summary(pages: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Q5: url, pages, total_in, ok and blocked of each url of `pages` (page_id, url, html), with zeros where nothing is found.
+
+    total_in: hits by page, origin and address; ok: distinct keys of valid addresses; blocked: those
+    of them whose key is in `blocked` (key).  Rows without a url are one url, null.
+    """
+    p = pages.select(F.struct("page_id", T.canonical_url(F.col("url")).alias("url")).alias("page"), "html")
+    h = X.page_hits(p, "page").withColumn("final", K.transport_address(T.fix_domain_typo(T.postclean(T.trim_appended(T.strip_phone_prefix(F.col("email")))))))
+    valid = RU.strict_reason(F.col("final")).isNull() & F.coalesce(RU.tld(T.domain_part(F.col("final"))).isin(V.KNOWN_TLDS), F.lit(False))
+    h = h.select(F.col("page.url").alias("url"), F.when(valid, K.gmail_key(F.col("final"))).alias("key"))
+    counted = h.groupBy("url", "key").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.join(blocked.select("key", F.lit(1).alias("b")).distinct(), "key", "left")
+    zero = F.lit(0).cast("long")
+    rows = counted.select("url", zero.alias("pages"), F.col("n").alias("total_in"), F.when(F.col("key").isNotNull(), 1).otherwise(0).alias("ok"), F.coalesce("b", F.lit(0)).alias("blocked"))
+    rows = rows.unionByName(p.select(F.col("page.url").alias("url"), F.lit(1).alias("pages"), zero.alias("total_in"), zero.alias("ok"), zero.alias("blocked")))
+    return rows.groupBy("url").agg(*[F.sum(c).cast("long").alias(c) for c in ("pages", "total_in", "ok", "blocked")])
+
+
+@query()
+def url_ingest(spark, d):
+    """Q5: addresses of every url's pages, found, distinct and blocked; blocked are recipients with an order of status F."""
+    gone = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("pos"))
+    keys = relations.keyed(spark, d).join(gone, "pos", "left_semi").select("key")
+    return ingest_summary(table(spark, d, "pages"), keys)
+
+
 @query()
 def unicode_preprocess(spark, d):
     """The whole preprocessor on documents, hashed."""

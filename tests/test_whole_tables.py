@@ -20,3 +20,12 @@ def test_name_pairs_of_all_languages(spark, tmp_path):
     }
     got = QUERIES["name_pairs_all"](spark, documents(spark, tmp_path, rows)).collect()
     assert sorted(map(tuple, got)) == sorted((i, *p) for i, ps in want.items() for a, b in ps for p in ((a, b), (b, a)))
+
+
+def test_url_ingest_counts_addresses(spark):
+    from contactloom.plans.pipelines import ingest_summary
+
+    html = '<a href="mailto:Ann.Lee@gmail.com">x</a> <p>annlee@gmail.com bob@corp.ru no@site.zzz</p>'
+    pages = [(1, "http://A.org/x#top", html), (2, "http://a.org/x", "<p>bob@corp.ru</p>"), (3, "http://a.org/none", "<p>nothing"), (4, None, None)]
+    got = ingest_summary(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame([("bob@corp.ru",)], "key string"))
+    assert {r.url: tuple(r)[1:] for r in got.collect()} == {"http://a.org/x": (2, 5, 2, 1), "http://a.org/none": (1, 0, 0, 0), None: (1, 0, 0, 0)}
