@@ -96,6 +96,20 @@ def url_ingest(spark, d):
     return ingest_summary(table(spark, d, "pages"), keys)
 
 
+@query()
+def crawl_pages(spark, d):
+    """From the first page of each host along its links; each page reached, with its distinct addresses."""
+    from contactloom.operators.graph import crawl_links
+
+    pages = table(spark, d, "pages")
+    url = T.canonical_url(F.col("url"))
+    start = pages.groupBy(T.url_host(url).alias("host")).agg(F.min(F.struct(F.length(url), url.alias("url"))).alias("s")).select(F.col("s.url").alias("url"))
+    reached = crawl_links(pages, start)
+    hits = X.page_hits(pages.select(url.alias("url"), "html").join(reached.select("url"), "url", "left_semi"), "url")
+    found = hits.groupBy("url").agg(F.count_distinct("email").alias("n_emails"))
+    return reached.join(found, "url", "left").select("start", "url", "depth", "place", F.coalesce("n_emails", F.lit(0)).cast("long").alias("n_emails"))
+
+
 @query()
 def unicode_preprocess(spark, d):
     """The whole preprocessor on documents, hashed."""
