@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating star contraction: each node links its larger neighbours to the
     least node beside it, then its smaller ones, until nothing changes.  The
-    edge count never grows, and each round ends in a checkpoint.
+    edge count never grows, and each round ends in a checkpoint.  Edges that still
+    change in the last of the rounds are an error.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpoint(e)
@@ -41,5 +42,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == (now.n, now.h):
             break
         state = (now.n, now.h)
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.select(F.col("v").alias("u"), "v").distinct()
     return e.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -225,3 +225,9 @@ def test_pack_odd_rows(spark):
     got = pack_documents(frame(spark, odd)).collect()
     assert sorted(x.length for x in got) == [1, 1, 2, 2] and len({x.sequence_id for x in got}) == 1
     assert pack_documents(frame(spark, [])).count() == 0
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(chain, rounds=1)
