@@ -51,24 +51,33 @@ REPLIES = set("comment comments commentlist disqus respond reply replies".split(
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALL = set("ul ol dl table body html div section article main td th".split())
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
-    re.S,
-)
+_QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""")
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "parent", "own", "score", "bonus", "held", "fixed", "mark", "inner", "prose", "title", "main", "below")
+    __slots__ = ("tag", "step", "key", "up", "box", "head", "dropped", "parent", "own", "score", "bonus", "held", "fixed", "mark", "inner", "prose", "title", "main", "below")
 
-    def __init__(self, tag, path, dropped, parent, bonus):
-        self.tag, self.path, self.dropped, self.parent, self.bonus = tag, path, dropped, parent, bonus
+    def __init__(self, tag, step, up, dropped, parent, bonus):
+        self.tag, self.step, self.up, self.dropped, self.parent, self.bonus = tag, step, up, dropped, parent, bonus
+        # paths are compared by a running hash: spelt out, those of deep pages would take their square
+        self.key = 0 if up is None else hash((up.key, step)) if step else up.key
+        self.box, self.head = self, tag == "h1" or up is not None and up.head
         self.own, self.score, self.held = 0.0, 0.0, False
         self.fixed, self.mark, self.inner = False, None, False
         self.prose, self.title, self.main, self.below = 0.0, 0.0, 0.0, []
 
+    @property
+    def path(self) -> str:
+        steps, n = [], self
+        while n is not None:
+            steps.append(n.step)
+            n = n.up
+        return "".join(f">{x}" for x in reversed(steps) if x)
+
 
 class _Mark:
     """An element whose name marks it: letters outside links, and headings or articles, that it holds."""
@@ -81,16 +90,19 @@ class _Mark:
 
 
 def _attributes(text: str) -> tuple[str, set[str], set[str], set[str]]:
-    """First class, digits made alike, the words of class, id and role, and the marks that name the
-    element by class or role, and by id: those of names made of marks and words of layout only."""
+    """First class, digits made alike, the words of article names, and the marks that name the element
+    by class or role, and by id: those of names made of marks and words of layout, or that say of what
+    part of an article they are ("post-comments": the last word that isn't layout names the box)."""
     first, words, named, by_id = "", set(), set(), set()
     for name, value in _NAMED.findall(text):
         name, value = name.lower(), value.strip("\"'").lower()
         for token in value.split():
-            parts = {w for w in _WORD.findall(token) if len(w) > 1}
-            if parts & MARKS and parts <= MARKS | LAYOUT:
-                (by_id if name == "id" else named).update(parts & MARKS)
-        words.update(_WORD.findall(value))
+            parts = [w for w in _WORD.findall(token) if len(w) > 1]
+            kind = next((w for w in reversed(parts) if w not in LAYOUT), None)
+            if kind in MARKS and set(parts) <= MARKS | LAYOUT | MAIN:
+                (by_id if name == "id" else named).update(MARKS.intersection(parts))
+            elif kind in MAIN:
+                words.update(parts)
         if name == "class" and value.split():
             first = _DIGITS.sub("#", value.split()[0])
     return first, words, named, by_id
@@ -119,46 +131,62 @@ class Page:
             self._parse(html, kept)
 
     def _parse(self, html: str, kept: frozenset) -> frozenset:
-        """The page without marked elements, but for those whose numbers are kept; the numbers that should be."""
-        root = _Node("", "", False, None, False)
+        """The page without marked elements, but for those whose numbers are kept; the numbers that should be.
+
+        Each character is looked at a bounded number of times, whatever the page.
+        """
+        root = _Node("", "", None, False, None, False)
         self.nodes, self.blocks = [root], []
         marks, whole = [], _Mark(None, set())
         root.mark = whole
-        stack, box, pieces, linked, links = [root], root, [], 0, 0
+        stack, pieces, linked, links = [root], [], 0, 0
+        place, head = None, False  # where the first of the pieces stands, and whether any is of a title
+        number = defaultdict(int)  # open elements of each name
 
         def flush():
-            nonlocal pieces, linked
-            if pieces:
+            nonlocal pieces, linked, place, head
+            if place is not None:
                 text = " ".join("".join(pieces).split())
-                if text and not stack[-1].dropped:
-                    self.blocks.append((box, text))
-                    own = max(0, len(text) - 2 * linked)
-                    box.own += own
-                    box.prose += own if own >= PROSE else 0
-                    if any(n.tag == "h1" for n in stack):
-                        box.title += len(text) if box.inner == "article" else own
-                pieces, linked = [], 0
+                self.blocks.append((place, text))
+                own = max(0, len(text) - 2 * linked)
+                place.own += own
+                place.prose += own if own >= PROSE else 0
+                if head:
+                    place.title += len(text) if place.inner == "article" else own
+            pieces, linked, place, head = [], 0, None, False
 
         def text(raw):
-            nonlocal linked
+            nonlocal linked, place, head
             top = stack[-1]
-            if raw and not top.fixed and not links:
+            if not top.fixed and not links:
                 top.mark.size += len(raw.strip())
-            if raw and not top.dropped:
+            if not top.dropped:
                 raw = unescape(raw) if "&" in raw else raw
                 pieces.append(raw)
+                if raw.strip():
+                    place, head = place or top.box, head or top.head
                 if links:
                     linked += len(raw.strip())
 
-        def pop(k):
-            nonlocal box, links
-            flush()
+        def cut(k):
+            nonlocal links
             for n in stack[k:]:
                 links -= n.tag == "a"
+                number[n.tag] -= 1
             del stack[k:]
-            box = next(n for n in reversed(stack) if n.held or n is root)
 
-        at, size = 0, len(html)
+        def close_within(tags, walls):
+            """End the innermost of some elements, unless a wall stands before it."""
+            if any(number[t] for t in tags):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in tags:
+                        flush()
+                        return cut(k)
+                    if stack[k].tag in walls:
+                        return None
+            return None
+
+        at, size, quoted = 0, len(html), True
         while at < size:
             lt = html.find("<", at)
             if lt < 0:
@@ -166,13 +194,25 @@ class Page:
                 break
             if lt > at:
                 text(html[at:lt])
-            m = _TOKEN.match(html, lt)
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if html.find(">", lt) < 0:
+                text(html[lt:])
+                break
+            m = None
+            if quoted and html[lt + 1 : lt + 3].strip("/")[:1].isalpha():
+                m = _QUOTED.match(html, lt)
+                # quotes that don't end before the page does mean nothing from here on
+                quoted = m is not None
+            m = m or _PLAIN.match(html, lt)
             if m is None:
                 text("<")
                 at = lt + 1
                 continue
             at = m.end()
-            close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            close, name, rest = m[1], m[2], m[3]
             if not name:
                 continue
             tag = name.lower()
@@ -180,16 +220,15 @@ class Page:
                 if tag == "br":
                     pieces.append(" ")
                 block = tag in BLOCK
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        if block:
-                            pop(k)
-                        else:
-                            links -= sum(n.tag == "a" for n in stack[k:])
-                            del stack[k:]
-                        break
-                    if not block and stack[k].tag in BLOCK:
-                        break
+                if number[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].tag == tag:
+                            if block:
+                                flush()
+                            cut(k)
+                            break
+                        if not block and stack[k].tag in BLOCK:
+                            break
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -206,19 +245,9 @@ class Page:
             if tag in BLOCK:
                 flush()
                 # an open paragraph ends where a block begins; list items and cells end each other
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        pop(k)
-                        break
-                    if stack[k].tag in WALL:
-                        break
+                close_within(("p",), WALL)
             if tag in SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in SAME[tag]:
-                        pop(k)
-                        break
-                    if stack[k].tag in WALL and stack[k].tag not in ("td", "th"):
-                        break
+                close_within(SAME[tag], WALL - {"td", "th"})
             first, words, named, by_id = _attributes(rest) if rest else ("", set(), set(), set())
             up = stack[-1]
             fixed = up.fixed or tag in DROPPED or (tag == "header" and not up.inner)
@@ -232,17 +261,18 @@ class Page:
                 mark.mains += tag == "main"
                 mark.articles += tag == "article"
             dropped = up.dropped or fixed or bool(found and len(marks) - 1 not in kept)
-            path = up.path if tag in ("html", "body") or tag not in BLOCK else f"{up.path}>{tag}.{first}" if first else f"{up.path}>{tag}"
-            node = _Node(tag, path, dropped, box, tag in ("article", "main") or bool(words & {"articlebody", "main"}))
+            step = "" if tag in ("html", "body") or tag not in BLOCK else f"{tag}.{first}" if first else tag
+            node = _Node(tag, step, up, dropped, up.box, tag in ("article", "main") or bool(words & {"articlebody", "main"}))
             node.held = tag in CONTAINER
             node.fixed, node.mark, node.inner = fixed, mark, "article" if "article" in (tag, up.inner) else "main" if tag == "main" else up.inner
             stack.append(node)
-            if tag == "a":
-                links += 1
+            number[tag] += 1
+            links += tag == "a"
             if node.held:
-                box = node
                 if not dropped:
                     self.nodes.append(node)
+            else:
+                node.box = up.box
         flush()
         for n in reversed(self.nodes):
             n.score += n.own
@@ -267,16 +297,28 @@ class Page:
     def votes(self) -> tuple[str, float]:
         top = self.best()
         total = sum(n.own for n in self.nodes)
-        return top.path, sum(n.own for n in self.nodes if _within(n, {top})) / total if total else 0.0
+        return top.path, sum(n.own for n in self._inside({top})) / total if total else 0.0
+
+    def _inside(self, chosen: set) -> set:
+        """The containers in some of them, and those; a container stands after the one around it."""
+        inside = set()
+        for n in self.nodes:
+            if n in chosen or n.parent in inside:
+                inside.add(n)
+        return inside
 
     def text(self, path: str | None) -> str:
         """Text of the containers on a path, or of the best one."""
-        chosen = {n for n in self.nodes if n.path == path} if path is not None else set()
-        if path == "":
-            chosen = {self.nodes[0]}
+        chosen = set()
+        if path is not None:
+            key = 0
+            for step in path.split(">")[1:]:
+                key = hash((key, step))
+            chosen = {n for n in self.nodes if n.key == key} if path else {self.nodes[0]}
         if not chosen or not any(n.score for n in chosen):
             chosen = {self.best()}
-        return "\n".join(t for n, t in self.blocks if _within(n, chosen))
+        inside = self._inside(chosen)
+        return "\n".join(t for n, t in self.blocks if n in inside)
 
 
 def _leaves_out(node: _Node, child: _Node) -> bool:
@@ -300,14 +342,6 @@ def _holds_page(m: _Mark, whole: _Mark) -> bool:
     return not m.words & REPLIES and (m.titles > 0 or whole.titles + whole.mains + whole.articles == heads)
 
 
-def _within(node: _Node | None, chosen: set) -> bool:
-    while node is not None:
-        if node in chosen:
-            return True
-        node = node.parent
-    return False
-
-
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()

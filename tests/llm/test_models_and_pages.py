@@ -313,3 +313,57 @@ def test_title_and_lead_stay_however_long_the_body(size):
     page = Page(f"<div><div>A word on this site.</div><article><h1>{title}</h1><div>{body}</div></article></div>")
     assert page.text(None) == "\n".join([title] + ["body words"] * size)
     assert Page(f"<main><article>{body}</article><article>two</article></main>").text(None).endswith("words\ntwo")
+
+
+def test_text_around_dropped_elements_stays():
+    assert Page('<article>Lead text <span class="share"><ul><li>x</li></ul></span> tail text</article>').text(None) == "Lead text\ntail text"
+    assert Page("<p>Lead <button>Go<p>second").text(None) == "Lead\nsecond"
+    assert Page("<p>one<aside>two</aside>three<p>four <select><option>five</select>six").text(None) == "one\nthree\nfour six"
+
+
+def test_names_of_parts_are_dropped_and_slugs_are_not():
+    long = "words of the article " * 5
+    for name in ("form-factor", "side-effects", "related-work", "search-engines", "login-guide", "reply-all", "banner-bearer"):
+        assert Page(f'<div class="{name}"><h1>Head</h1><p>{long}</p></div>').text(None) == f"Head\n{long.strip()}"
+    for name in ("post-comments", "main-nav", "content-sidebar", "entry-share", "story-related"):
+        assert Page(f'<article><h1>Head</h1><p>{long}</p><div class="{name}"><p>said</p></div></article>').text(None) == f"Head\n{long.strip()}"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    n = 120_000
+    shapes = ["<a ", '<a b=">" ', "<b>", "<div>x", "<h1>", "<li>", "<td>", '<a class=" ', "<", "<!-- ", "</p>", "<p>x<b>", "<div class='ad'>", "<script>", "&amp"]
+    for shape in [s * n for s in shapes] + ["<b>" * n + "</i>" * n, "<b>" * n + "<p></p>" * n]:
+        start = time.process_time()
+        page = Page(shape)
+        page.text(page.votes()[0])
+        assert time.process_time() - start < 15, shape[:20]
+    assert Page("<p>a <b " + "c" * 1_200_000).text(None).startswith("a <b ccc")
+
+
+def test_query_against_a_plain_reader(spark):
+    """The pages of the smaller tables name their article; a reader of a few lines cuts it out."""
+    import html
+    import os
+
+    from contactloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    want = {}
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        body = "".join(re.findall(r"<article>(.*?)(?:</article>|\Z)", r.html or "", re.S))
+        blocks = [html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split() for b in re.split(r"</?(?:h1|p|ul|li|div)[^>]*>", body)]
+        want[r.page_id] = "\n".join(" ".join(b) for b in blocks if b)
+    got = {r.page_id: r.text for r in QUERIES["op4_html_extraction"](spark, folder).collect()}
+    assert got == want
+
+
+def test_ties_of_paths_are_settled_alike(spark):
+    # two paths of a host with the same votes: the later path in code point order wins wherever the rows lie
+    rows = [(i, "https://t.org/x", f'<div class="{c}"><p>text of a page here</p></div>') for i, c in enumerate(("aa", "bb"))]
+    for data in (rows, rows[::-1]):
+        got = main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+        assert {r.path for r in got} == {">div.bb"} and {r.text for r in got} == {"text of a page here"}
