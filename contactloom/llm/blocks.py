@@ -11,8 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text worked on at a time; longer texts are taken alone.
 CHUNK = 1 << 20
@@ -266,30 +267,96 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ordered_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, text), rid a long that is unique and orders the rows.
+def fresh(columns, *names: str) -> list[str]:
+    """Names like these that none of the columns has (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text; null counts as empty."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t), F.xxhash64(t, F.lit(1))]
+
+
+#: Rows of a table with one row a key that are broadcast at most, and keys that can each hold 1/HOT of the rows.
+SMALL, HOT = 50_000, 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: list[Column]) -> DataFrame:
+    """Left join to a table with one row for each key, `weight` being how many left rows have it.
+
+    A table of at most SMALL rows is broadcast.  Of a larger one only keys with
+    over 1/HOT of the weight are (fewer than HOT rows, however large the tables);
+    left rows of those need no partner and are spread by `spread`, the others meet
+    in a shuffle.  `right` must be cheap to read again.
+    """
+    n, total = right.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if n <= SMALL:
+        return left.join(F.broadcast(right), on, "left")
+    own, apart = fresh([*left.columns, *right.columns], "own", "apart")
+    values = [c for c in right.columns if c not in on]
+    is_hot = F.col(weight).cast("decimal(38,0)") * HOT > F.lit(int(total))
+    hot = right.filter(is_hot).select(*on, F.struct(*values).alias(own))
+    cold = right.filter(~is_hot).withColumn(apart, F.lit(0).cast("long"))
+    out = left.join(F.broadcast(hot), on, "left").withColumn(apart, F.when(F.col(own).isNotNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
+    out = out.join(cold.hint("shuffle_hash"), [*on, apart], "left")
+    return out.select(*left.columns, *[F.coalesce(F.col(own)[c], F.col(c)).alias(c) for c in values])
+
+
+#: Equal rows that one task numbers at most.
+EQUAL = 10_000
+
+
+def ordered_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(rid, doc_id, text), rid a long that is unique and orders the rows; and whether it is the id.
 
     It is the id itself where ids are unique and not null.  Otherwise rows are
-    numbered in the order of id (null first), then text.
+    numbered in the order of id (null first), then a hash of the text: what is
+    sorted are ids and hashes, once for each pair, in parts by range; texts (null
+    as empty) only move to meet their numbers, equal ones as one.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     odd = base.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1))
     if not odd.limit(1).count():
-        return base.select(F.col("doc_id").alias("rid"), "doc_id", "text").filter("rid is not null")
-    ensure_checkpoints(spark)
-    parts = base.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    numbered = parts.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    return spark.createDataFrame(numbered, "rid long, doc_id long, text string").checkpoint().filter("rid is not null")
+        return base.select(F.col("doc_id").alias("rid"), "doc_id", "text").filter("rid is not null"), True
+    n = partitions(spark)
+    key, (one, two) = ["given", "id", "one", "two"], text_key(F.col("text"))
+    base = base.select(F.col("doc_id").isNotNull().alias("given"), F.coalesce("doc_id", F.lit(0)).alias("id"), one.alias("one"), two.alias("two"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = base.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(n, *key)
+    keys = checkpoint(keys.withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(*key)
+    # one row for each part: their running sum may be had in one task
+    start = keys.groupBy("part").agg(F.sum("n").alias("size"), F.max("n").alias("most"))
+    start = checkpoint(start.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")))
+    keys = keys.withColumn("at", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(start.select("part", "before")), "part")
+    keys = keys.select(*key, (F.col("before") + F.col("at")).alias("first"))
+    rows = base.groupBy(*key).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")).join(keys.hint("shuffle_hash"), key)
+    if (start.agg(F.max("most")).first()[0] or 0) > EQUAL:
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUAL).cast("long")))
+        rows = rows.withColumn("run", runs).withColumns({"first": F.col("first") + F.col("run"), "n": F.least(F.col("n") - F.col("run"), F.lit(EQUAL))}).repartition(n, "first")
+    rows = rows.withColumn("rid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    return checkpoint(rows.select("rid", F.when(F.col("given"), F.col("id")).alias("doc_id"), "text")), False
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named, as in tests, one is set."""
+    """Use the cluster's shared folder; only a local session without one, as in tests, gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no shared folder")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from contactloom.llm import blocks as B
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Pairs of length and prefix that are broadcast at most (about 16 bytes each).
-PAIRS = 1_000_000
-#: Parts that the rows of one group are dealt over.
-SALT = 32
 
 
 @F.pandas_udf(StringType())
@@ -26,6 +24,27 @@ def prefix_hash(text: Column, length: int = 48) -> Column:
     return F.xxhash64(F.translate(F.substring(text, 1, length), UPPER, LOWER))
 
 
+def _refined(docs: DataFrame, text_col: str, spread: Column, hash_all: bool, names: list[str]) -> DataFrame:
+    """`docs` with length, prefix hash, how many rows share both (null: none other) and the full hash.
+
+    One aggregation counts both levels.  Only rows whose (length, prefix) isn't
+    unique are hashed in full, unless `hash_all` asks for every row's hash.
+    """
+    size, prefix, again, sha = names
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.withColumns({size: F.octet_length(text).cast("long"), prefix: prefix_hash(text)})
+    pairs = B.checkpoint(docs.groupBy(size, prefix).agg(F.count(F.lit(1)).alias(again)).filter(F.col(again) > 1))
+    docs = B.split_join(docs, pairs, [size, prefix], again, [spread])
+    wanted = F.lit(True) if hash_all else F.col(again).isNotNull()
+    return docs.withColumn(sha, F.when(wanted, full_hash(F.when(wanted, text).otherwise(F.lit("")))))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, again, sha) with the id that stays and the size of their group, null where there is none."""
+    groups = rows.filter("again is not null").groupBy("sha").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return B.checkpoint(groups)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
     """One row for each row: id, keep_id, group_size, kept, and the text's hash.
 
@@ -34,48 +53,44 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows that repeat both id and text stand or fall together.  Other columns are
     not read.  An empty table gives no rows.
 
-    Rows are grouped by length, then by the hash of a prefix; one aggregation
-    counts both levels.  Only rows whose (length, prefix) is not unique are
-    hashed in full, unless `hash_all` asks for every row's hash (else null).  The
-    surviving pairs are broadcast where they are at most PAIRS, which is counted
-    first; beyond that every row is hashed in full.
+    Rows are grouped by length, then by the hash of a prefix; only rows that
+    share both with another are read in full and hashed, at every size of the
+    table, unless `hash_all` asks for every row's hash (else null).  Keys that
+    hold a large share of the rows are joined by a bounded broadcast, the others
+    meet in a shuffle.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumns({"size": F.octet_length("text").cast("long"), "prefix": prefix_hash(F.col("text"))})
-    pairs = base.groupBy("size", "prefix").count().filter("count > 1").select("size", "prefix", F.lit(True).alias("again"))
-    if pairs.limit(PAIRS + 1).count() <= PAIRS:
-        base = base.join(F.broadcast(pairs), ["size", "prefix"], "left")
-    else:
-        base = base.withColumn("again", F.lit(True))
-    wanted = F.lit(True) if hash_all else F.col("again").isNotNull()
-    rows = base.withColumn("text_sha256", F.when(wanted, full_hash(F.when(wanted, F.col("text")).otherwise(F.lit("")))))
-    rows = rows.select("doc_id", "again", "text_sha256")
-    groups = (
-        rows.filter("again")
-        .groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        .withColumnRenamed("text_sha256", "sha")
-    )
-    left = rows.withColumns({"sha": F.when(F.col("again"), F.col("text_sha256")), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")})
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _refined(base, "text", F.col("doc_id"), hash_all, ["size", "prefix", "again", "sha"])
+    rows = B.checkpoint(rows.select("doc_id", "again", "sha"))
     # what is in no group goes to no one task either
-    left = left.withColumn("sha", F.coalesce("sha", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))))
-    out = left.join(groups, ["sha", "salt"], "left")
+    left = rows.withColumn("own", F.col("sha")).withColumn("sha", F.coalesce(F.when(F.col("again").isNotNull(), F.col("sha")), F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))))
+    out = B.split_join(left, _groups(rows), ["sha"], "n", [F.col("doc_id")])
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return out.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        "text_sha256",
+        F.col("own").alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay; of rows that repeat id and text one stays."""
-    stay = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stay"))
-    out = docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi")
-    # rows are only compared as a whole where an id occurs again
-    again = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
-    return out.withColumn("_low", F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)).dropDuplicates([id_col, "_low"]).drop("_low") if again else out
+    """The rows of `docs` that stay, as they are: of each group of equal texts the one with the largest id.
+
+    The decision is on the row, not on its id: where an id stands on several
+    texts each is judged by its own group, and of rows that repeat id and text
+    one stays.  Nulls, empty texts and empty tables as for exact_duplicates; any
+    column names may occur.
+    """
+    size, prefix, again, sha, key, keep, n = B.fresh(docs.columns, "size", "prefix", "again", "sha", "key", "keep", "n")
+    own = F.col(id_col).cast("long")
+    rows = _refined(docs, text_col, own, False, [size, prefix, again, sha])
+    narrow = B.checkpoint(rows.filter(F.col(again).isNotNull()).select(own.alias("doc_id"), F.lit(True).alias("again"), F.col(sha).alias("sha")))
+    groups = _groups(narrow).select(F.col("sha").alias(key), F.col("keep").alias(keep), F.col("n").alias(n))
+    left = rows.withColumn(key, F.coalesce(F.col(sha), F.concat(F.lit("-"), F.xxhash64(own).cast("string"))))
+    out = B.split_join(left, groups, [key], n, [own]).filter(F.col(n).isNull() | own.eqNullSafe(F.col(keep)))
+    # rows that repeat id and text were judged alike; they are only looked for where there are some
+    if narrow.groupBy("doc_id", "sha").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, size, prefix, key])
+    return out.select(*docs.columns)

@@ -168,12 +168,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by one space, and its hash.  Null texts have no words; shorter texts repeat
     nothing; other columns are not read.  Rows with a null id or an id that
     occurs again count as rows of their own, in the order of id (null first)
-    and text.  An empty table gives none.  `length` is 14 or more.
+    and a hash of the text.  An empty table gives none.  `length` is 14 or more.
     """
     if length < PERIOD + 1:
         raise ValueError(f"length must be {PERIOD + 1} or more")
     n = B.partitions(docs.sparkSession)
-    rows = B.ordered_rows(docs, id_col, text_col)
+    rows, _ = B.ordered_rows(docs, id_col, text_col)
     shared = B.exchange(rows.select("rid", "text").mapInArrow(_anchors(length, n), B.BLOB), n).mapInArrow(_shared(n), B.BLOB)
     marks = B.exchange(shared, n).mapInArrow(B.by_doc(("doc", "pos")), B.BY_DOC).select("rid", "items")
     # both joins take the same columns, so they read one exchange of the texts; the hash side holds positions only

@@ -260,8 +260,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for each row: id, sizes, removed spans as byte offsets, and the hash of what
     is left.  Null texts are empty; shorter texts repeat nothing; other columns
     are not read.  Rows with a null id or an id that occurs again count as rows
-    of their own, in the order of id (null first) and text; equal rows then
-    follow each other and the first keeps its bytes.  An empty table gives none.
+    of their own, in the order of id (null first) and a hash of the text; equal
+    rows then follow each other and the first keeps its bytes.  An empty table gives none.
     `length` is 4 to 255.  Texts over four times `chunk` bytes are read in slices,
     which changes nothing in the result.
     """
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be 4 to 255")
     spark = docs.sparkSession
     n = B.partitions(spark)
-    rows = B.ordered_rows(docs, id_col, text_col)
+    rows, _ = B.ordered_rows(docs, id_col, text_col)
     half = rows.select("rid", "text").mapInArrow(_rank_half(length, n, chunk), B.BLOB)
     found = B.exchange(half, n).mapInArrow(_rerank(n), B.BLOB)
     runs = B.checkpoint(B.exchange(found, n).mapInArrow(B.by_doc(FOUND), B.BY_DOC))
