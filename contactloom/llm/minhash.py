@@ -4,10 +4,15 @@ A signature holds K = 64 minima of 16 bits.  It is split into 11 chunks; two
 signatures that differ in at most 21 of 64 places have, by the pigeonhole
 principle, a chunk with one error at most, so a key is made for each place of
 each chunk with that place left open, 64 keys in all.  Documents of a similarity
-of 0.85 miss this with a probability below 1e-6.  Sharing a key makes documents
-candidates, and candidates that hang together form a cell.  Links are then
-confirmed on full shingle sets inside cells, block against block; a task reports
-a spanning forest of the links that it finds, never all pairs.
+of 0.85 miss this with a probability below 1e-6.  Documents that share a key are
+candidates if their signatures, cut to two bits a place, differ in at most 21
+places; where a key is frequent, documents within that distance of one are
+gathered under it with the radius of what it gathered, and by the triangle
+inequality no candidate pair falls apart.  Candidates that hang together form a
+cell.  Links are confirmed on full shingle sets inside cells: in a small cell all
+at once; in a large one first with the cell's least document, and then between
+those that aren't linked to it and all, block against block.  A task reports a
+spanning forest of the links that it finds, never all pairs.
 """
 
 from __future__ import annotations
@@ -23,10 +28,13 @@ from contactloom.llm import blocks as B
 from contactloom.llm.components import components
 
 K, CHUNKS = 64, 11
-#: Members of a block of a cell at least; larger cells have blocks of SPREAD times the root of their size,
-#: so both a task and the number of blocks that a member goes to grow with the root.
-BLOCK, SPREAD = 256, 6
-SHINGLES = "rid long, doc_id long, n_shingles long, set_hash binary, signature binary"
+#: Places in which signatures of candidates differ at most.
+DISTANCE = 2 * CHUNKS - 1
+#: Members of a block of a cell.
+BLOCK = 256
+SHINGLES = "rid long, doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary"
+#: key (48 bits: distances are looked at anyway), document, radius, signature of two bits a place
+ITEM = ("h6", "doc", "<u1", "<u8", "<u8")
 
 _CUTS = [(i * K // CHUNKS, (i + 1) * K // CHUNKS) for i in range(CHUNKS)]
 
@@ -100,39 +108,82 @@ def _sketch(width: int):
                     sets.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     keys.append(next(sig).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())],
-                names=["rid", "doc_id", "n_shingles", "set_hash", "signature"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())],
+                names=["rid", "doc_id", "text_hash", "n_shingles", "set_hash", "signature"],
             )
 
     return run
 
 
+def _short(sig: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each of the K places, in two numbers."""
+    at = (np.arange(K, dtype=np.uint64) % np.uint64(32)) * np.uint64(2)
+    bits = (sig.astype(np.uint64) & np.uint64(3)) << at
+    return np.stack((bits[:, : K // 2].sum(axis=1, dtype=np.uint64), bits[:, K // 2 :].sum(axis=1, dtype=np.uint64)), axis=1)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in which short signatures differ; never more than the whole ones do."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+
+
+def gather(key: np.ndarray, doc: np.ndarray, radius: np.ndarray, sig: np.ndarray):
+    """Edges between documents that share a key, and the places and radii of those that stand for the rest.
+
+    Items are sorted by key.  In each round the first document of a key gathers
+    those within DISTANCE of it, which leave; its radius covers them.  Others may
+    be near to something that it gathered: they get an edge and go on.
+    """
+    pool = np.arange(len(key))
+    radius = radius.astype(np.int64)
+    heads, edges = [], []
+    while len(pool):
+        k = key[pool]
+        new = np.ones(len(pool), dtype=bool)
+        new[1:] = k[1:] != k[:-1]
+        group = np.cumsum(new) - 1
+        head = pool[new]
+        heads.append(head)
+        rest = ~new
+        pool, group = pool[rest], group[rest]
+        d = _distance(sig[head[group]], sig[pool])
+        near = d <= DISTANCE
+        reach = radius[head]
+        np.maximum.at(reach, group[near], d[near] + radius[pool[near]])
+        reach = np.minimum(reach, K)
+        radius[head] = reach
+        linked = near | (d <= DISTANCE + reach[group] + radius[pool])
+        edges.append(np.stack((doc[head[group[linked]]], doc[pool[linked]])))
+        pool = pool[~near]
+    stay = np.sort(np.concatenate(heads)) if heads else np.zeros(0, np.int64)
+    pair = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+    return np.unique(np.sort(pair, axis=0), axis=1), stay, radius[stay]
+
+
 def _deal_keys(n: int):
     def run(batches):
         for batch in batches:
             rows: list = []
             rid = batch.column(0).to_numpy()
             if len(rid):
-                key = _keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(rid), K))
-                key, doc = key.ravel(), np.repeat(rid, K)
-                # of one key in a batch the first stands for all, which are linked to it here
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                first = np.ones(len(key), dtype=bool)
-                first[1:] = key[1:] != key[:-1]
-                head = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-                pair = np.unique(np.stack((head[~first], doc[~first])), axis=1)
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(rid), K)
+                key, at = _keys(sig).ravel() & ~np.uint64(0xFFFF), np.repeat(np.arange(len(rid)), K)
+                order = np.lexsort((at, key))
+                key, at = key[order], at[order]
+                short = _short(sig)
+                pair, stay, radius = gather(key, rid[at], np.zeros(len(key), np.uint8), short[at])
                 B.deal(B.doc_bucket(pair[1], n), 1, ("<i8", "<i8"), (pair[0], pair[1]), rows)
-                key, doc = key[first], doc[first]
-                back = np.argsort(doc, kind="stable")
-                B.deal(B.bucket_of(key[back], n), 0, ("<u8", "doc"), (key[back], doc[back]), rows)
+                back = np.argsort(at[stay], kind="stable")
+                key, at, radius = key[stay][back], at[stay][back], radius[back]
+                B.deal(B.bucket_of(key, n), 0, ITEM, (key, rid[at], radius.astype(np.uint8), short[at, 0], short[at, 1]), rows)
             yield B.blob_batch(rows)
 
     return run
 
 
 def _meet(batches):
-    """Pairs (least document of a key, other document of the key)."""
+    """Candidate pairs, as edges that hold together what hangs together."""
     blobs = []
     for batch in batches:
         for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -141,13 +192,17 @@ def _meet(batches):
             else:
                 a, b = B.unpack(("<i8", "<i8"), blob.as_buffer())
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-    key, doc = B.unpack_all(("<u8", "doc"), blobs)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    head = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else doc
-    pair = np.unique(np.stack((head[~first], doc[~first])), axis=1)
+    key, doc, radius, one, two = B.unpack_all(ITEM, blobs)
+    del blobs
+    # only keys that occur again are looked at
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    more = np.zeros(len(k), dtype=bool)
+    more[1:] |= k[1:] == k[:-1]
+    more[:-1] |= k[1:] == k[:-1]
+    order = order[more]
+    order = order[np.lexsort((doc[order], key[order]))]
+    pair, _, _ = gather(key[order], doc[order], radius[order], np.stack((one[order], two[order]), axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 
@@ -214,15 +269,32 @@ def _links(rid: np.ndarray, sets: list[np.ndarray], own: np.ndarray, percent: in
                 yield rid[i], rid[j]
 
 
-def _confirm(width: int, percent: int):
+def _star(rid: np.ndarray, sets: list[np.ndarray], root: int, percent: int):
+    """Edges from the root to the documents that it is linked with."""
+    own = sets[int(np.flatnonzero(rid == root)[0])]
+    for r, s in zip(rid.tolist(), sets, strict=True):
+        if r != root:
+            shared = np.intersect1d(own, s, assume_unique=True).size
+            if 100 * shared >= percent * (len(own) + len(s) - shared):
+                yield root, r
+
+
+def _confirm(percent: int, star: bool):
+    """Links in what meets: (cell, one, two, block, rid, shingles); two is -1 where a block meets its cell's least document."""
+
     def run(batches):
         cells: dict = {}
         for batch in batches:
             for cell, one, two, block, rid, blob in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
                 cells.setdefault((cell, one, two), []).append((block, rid, np.frombuffer(blob.as_buffer(), np.uint64)))
-        for rows in cells.values():
+        while cells:
+            (cell, one, two), rows = cells.popitem()
             rows.sort(key=lambda r: (r[0], r[1]))
-            found = list(_links(np.array([r[1] for r in rows]), [r[2] for r in rows], np.array([r[0] for r in rows]), percent))
+            rid, sets = np.array([r[1] for r in rows]), [r[2] for r in rows]
+            own = np.array([r[0] for r in rows])
+            if not star and len(np.unique(own)) < 2:
+                continue  # nothing is open here
+            found = list(_star(rid, sets, cell, percent) if star and two < 0 else _links(rid, sets, own, percent))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -242,49 +314,102 @@ def _sets_of(width: int):
     return run
 
 
+MET = ("component", "one", "two", "block", "rid", "shingles")
+LINKS = "a long, b long"
+
+
+def _met(df: DataFrame, n: int, work) -> DataFrame:
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("component", "one", "two"), F.lit(n)).cast("int"))
+    return B.exchange(df, n).select(*MET).mapInArrow(B.tidy(work), LINKS)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row: id, n_shingles, component_id and whether it stays.
+    """One row for each row: id, n_shingles, component_id, whether it stays, and its row's number.
 
     Words are those of the lower-cased (A-Z) text; the set of a text is its
     distinct shingles of `width` words, or its whole sequence if it is shorter.
     Rows are linked when 100 * intersection >= `percent` * union, on full sets;
     rows without words are linked with nothing.  component_id is the least id
-    reachable over links; that row stays.  A null id, or one that occurs again,
-    makes rows of their own (numbered by id, null first, and text), and
-    component_id is then the number.  Other columns are not read; an empty table
-    gives no rows.  `percent` is 80 or more.
+    reachable over links (a null id counts only where there is no other); kept
+    says whether it is the row's own.  A null id, or one that occurs again, makes
+    rows of their own: rid numbers them by id, null first, and first marks the one
+    row of a component with the least number.  text_hash is xxhash64 of the text.
+    Other columns are not read; an empty table gives no rows.  `percent` is 80 or
+    more.
     """
     if percent < 80:
         raise ValueError("the signature distance is set for a similarity of 0.8 or more")
     spark = docs.sparkSession
     n = B.partitions(spark)
-    rows = B.ordered_rows(docs, id_col, text_col)
-    sketch = B.checkpoint(rows.mapInArrow(B.tidy(_sketch(width)), SHINGLES))
+    rows, plain = B.ordered_rows(docs, id_col, text_col)
+    sketch = rows.withColumn("text_hash", B.text_key(F.col("text"))[0]).mapInArrow(B.tidy(_sketch(width)), SHINGLES)
+    sketch = B.checkpoint(sketch)
     # equal sets are linked, and one document stands for them from here on
-    same = sketch.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    same = sketch.filter("n_shingles > 0").groupBy("set_hash")
+    same = same.agg(F.min("rid").alias("head"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     same = B.checkpoint(same)
     keys = same.select("head", "signature").mapInArrow(B.tidy(_deal_keys(n)), B.BLOB)
-    near = B.exchange(keys, n).mapInArrow(B.tidy(_meet), "a long, b long").distinct()
+    near = B.exchange(keys, n).mapInArrow(B.tidy(_meet), LINKS).distinct()
     cells = components(near)
-    # blocks of a cell meet in pairs; a cell of one block is a single task
-    sizes = cells.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("members") / F.greatest(F.lit(BLOCK), F.ceil(F.sqrt("members") * SPREAD))).cast("int"))
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    placed = cells.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")).join(sizes, ["component", "salt"])
+    sizes = B.checkpoint(cells.groupBy("component").agg(F.count(F.lit(1)).alias("members")))
+    placed = B.split_join(cells, sizes, ["component"], "members", [F.col("node")])
+    placed = placed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     texts = rows.join(placed.select(F.col("node").alias("rid"), "component", "block", "blocks").hint("shuffle_hash"), "rid")
     sets = texts.select("rid", "text", "component", "block", "blocks").mapInArrow(B.tidy(_sets_of(width)), "rid long, component long, block int, blocks int, shingles binary")
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = sets.withColumn("other", pair).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("component", "one", "two"), F.lit(n)).cast("int"))
-    met = B.exchange(met, n).select("component", "one", "two", "block", "rid", "shingles")
-    links = met.mapInArrow(B.tidy(_confirm(width, percent)), "a long, b long")
+    large = sizes.filter(F.col("members") > BLOCK).limit(1).count() > 0
+    sets = B.checkpoint(sets) if large else sets
+    # a cell of one block is compared in one task; in others each block meets the cell's least document
+    root = (F.col("rid") == F.col("component")) & (F.col("blocks") > 1)
+    to = F.when(root, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    met = sets.withColumn("one", F.explode(to)).withColumn("two", F.when(F.col("blocks") > 1, -1).otherwise(0))
+    links = _met(met, n, _confirm(percent, True))
+    if large:
+        links = B.checkpoint(links)
+        # what isn't linked to it meets every block of its cell
+        big = sets.filter("blocks > 1")
+        rest = big.filter("rid <> component").join(links.select(F.col("b").alias("rid")).hint("shuffle_hash"), "rid", "left_anti")
+        rest = B.checkpoint(rest)
+        count = B.checkpoint(rest.groupBy("component").agg(F.count(F.lit(1)).alias("open")))
+        count = count.join(sizes, "component").withColumn("others", F.ceil(F.col("open") / BLOCK).cast("int")).select("component", "members", "open", "others")
+        count = B.checkpoint(count)
+        every = B.split_join(big, count, ["component"], "members", [F.col("rid")]).filter("others is not null")
+        every = every.select("component", F.col("block").alias("one"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("two"), F.lit(0).alias("block"), "rid", "shingles")
+        some = B.split_join(rest, count, ["component"], "open", [F.col("rid")]).withColumn("two", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("others")).cast("int"))
+        some = some.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "two", F.lit(1).alias("block"), "rid", "shingles")
+        links = links.unionByName(_met(every.unionByName(some), n, _confirm(percent, False)))
     final = components(links)
     # a document takes the component of the one that stands for its set
-    label = same.join(final, F.col("head") == F.col("node"), "left").select("set_hash", "head", "copies", F.coalesce("component", "head").alias("component_id"))
-    label = label.filter("copies > 1 or head <> component_id")
-    label = label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("set_hash", "salt", "component_id")
-    out = sketch.select("rid", "doc_id", "n_shingles", F.coalesce("set_hash", F.expr("cast(rid as string)").cast("binary")).alias("set_hash"))
-    out = out.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(label, ["set_hash", "salt"], "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "rid"))
-    return out.select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("component_id")).alias("kept"))
+    label = same.join(final.hint("shuffle_hash"), F.col("head") == F.col("node"), "left").select("set_hash", "head", "least", "copies", F.coalesce("component", "head").alias("root"))
+    label = B.checkpoint(label.filter("copies > 1 or head <> root"))
+    out = sketch.select("rid", "doc_id", "text_hash", "n_shingles", F.coalesce("set_hash", F.expr("cast(rid as string)").cast("binary")).alias("set_hash"))
+    out = B.split_join(out, label.select("set_hash", "root", "copies"), ["set_hash"], "copies", [F.col("rid")])
+    out = out.drop("copies").withColumn("root", F.coalesce("root", "rid"))
+    if plain:
+        out = out.withColumn("component_id", F.col("root"))
+    else:
+        # the roots' numbers aren't ids: the least id of each component is
+        ids = same.join(final.hint("shuffle_hash"), F.col("head") == F.col("node"), "left").groupBy(F.coalesce("component", "head").alias("root"))
+        ids = B.checkpoint(ids.agg(F.min("least").alias("least"), F.sum("copies").alias("copies")))
+        out = B.split_join(out, ids, ["root"], "copies", [F.col("rid")])
+        out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    return out.select("rid", "doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("rid") == F.col("root")).alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay, as they are: one of each component, the one of the least id.
+
+    The decision is on the row, not on its id: where an id stands on several
+    texts each is judged by its own component, and of rows that repeat id and
+    text one stays.  Nulls, empty texts and empty tables as for near_duplicates;
+    any column names may occur.
+    """
+    found = B.checkpoint(near_duplicates(docs, id_col, text_col, width, percent).select("doc_id", "text_hash", "first"))
+    own, key, other, hash_ = B.fresh(docs.columns, "own", "key", "other", "hash")
+    left = docs.withColumns({own: F.col(id_col).cast("long"), key: B.text_key(F.col(text_col))[0]})
+    # equal rows go as one; they are only looked for where there are some
+    if found.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates([own, key])
+    stay = found.filter("first").select(F.col("doc_id").alias(other), F.col("text_hash").alias(hash_))
+    out = left.join(stay.hint("shuffle_hash"), F.col(own).eqNullSafe(F.col(other)) & (F.col(key) == F.col(hash_)), "left_semi")
+    return out.select(*docs.columns)

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
 from contactloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from contactloom.llm.minhash import near_duplicates
+from contactloom.llm.minhash import drop_near_duplicates, near_duplicates
 from contactloom.llm.mixing import mix, mixed_documents
 from contactloom.llm.packing import Tokens, best_fit, pack_documents
 
@@ -105,8 +106,92 @@ def test_near_blocks_of_a_large_cell(spark, rows, monkeypatch):
 
 def test_near_odd_rows(spark):
     got = near_duplicates(frame(spark, [row(None, "a b"), row(4, "A b"), row(4, None), row(5, "")])).collect()
-    assert sorted((x.rid, x.doc_id or 0, x.n_shingles, x.component_id) for x in got) == [(0, 0, 1, 0), (1, 4, 0, 1), (2, 4, 1, 0), (3, 5, 0, 3)]
-    assert near_duplicates(frame(spark, [])).count() == 0
+    assert sorted((x.doc_id or 0, x.n_shingles, x.component_id, x.kept, x.first) for x in got) == [(0, 1, 4, False, True), (4, 0, 4, True, True), (4, 1, 4, True, False), (5, 0, 5, True, True)]
+    assert near_duplicates(frame(spark, [row(None, "q r")])).first().component_id is None
+    assert near_duplicates(frame(spark, [])).count() == 0 and drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _stay long, _low string, _id long, _hash long, _nth int, _spans string, own int, key string, size int, sha string, rid string, hash string, part int"
+
+
+def odd_frame(spark, pairs):
+    """Rows whose other columns have the names that operators might use."""
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, "x", 2, 3, 4, "y", 5, "z", 6, "w", "v", "u", 7) for i, t in pairs], ODD).repartition(3)
+
+
+def test_decisions_are_on_rows(spark):
+    """Of rows with one id each is judged by its own text, in both dedups, whatever the columns' names."""
+    base = " ".join(f"w{i}" for i in range(60))
+    got = drop_exact_duplicates(odd_frame(spark, [(1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "C"), (3, "d"), (3, "d")]))
+    assert got.columns == odd_frame(spark, []).columns
+    assert sorted((x.doc_id or 0, x.text.lower()) for x in got.collect()) == [(0, "c"), (1, "b"), (2, "a"), (3, "d")]
+    got = drop_near_duplicates(odd_frame(spark, [(0, base), (5, base + " end"), (5, "u"), (None, None), (None, None), (7, "u"), (7, "u"), (8, "")]))
+    assert got.columns == odd_frame(spark, []).columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in got.collect()) == [(0, ""), (0, base), (5, "u"), (8, "")]
+
+
+def test_ids_that_repeat_give_ids(spark, rows):
+    """One repeated id in a whole table changes the component of no other row."""
+    more = [*rows, row(rows[0][0], rows[0][1])]
+    got = near_duplicates(frame(spark, more), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert {tuple(x) for x in got} == near_brute(rows, 3, 85) and len(got) == len(more)
+
+
+def test_many_equal_rows_are_numbered(spark, monkeypatch):
+    from contactloom.llm import blocks
+
+    monkeypatch.setattr(blocks, "EQUAL", 3)
+    rows, plain = blocks.ordered_rows(frame(spark, [row(None, "x")] * 10 + [row(2, "b"), row(2, "a"), row(2, "b"), row(1, None)]), "doc_id", "text")
+    got = sorted((x.rid, x.doc_id, x.text) for x in rows.collect())
+    assert not plain and [x[0] for x in got] == list(range(14)) and [x[1] for x in got] == [None] * 10 + [1, 2, 2, 2]
+    assert sorted(x[2] for x in got) == [""] + ["a", "b", "b"] + ["x"] * 10
+
+
+def test_split_join_of_large_tables(spark, monkeypatch):
+    """Beyond what may be broadcast whole, hot keys and others give what one broadcast gives."""
+    from contactloom.llm import blocks
+
+    left = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).alias("k"))
+    right = left.groupBy("k").count().filter("k <> 'k9'").withColumn("v", F.length("k"))
+    want = sorted(map(tuple, blocks.split_join(left, right, ["k"], "count", [F.col("id")]).select("id", "k", "v").collect()))
+    monkeypatch.setattr(blocks, "SMALL", 10)
+    monkeypatch.setattr(blocks, "HOT", 20)
+    assert sorted(map(tuple, blocks.split_join(left, right, ["k"], "count", [F.col("id")]).select("id", "k", "v").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_gather_loses_no_pair():
+    """Items within the distance hang together by the edges, whether dealt at once or gathered in two steps."""
+    from contactloom.llm import minhash
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 4, (6, 64))
+    sig = np.concatenate([np.where(r.random((40, 64)) < r.choice([0.1, 0.25, 0.4]), r.integers(0, 4, (40, 64)), b) for b in base]).astype(np.uint16)
+    short, key, doc = minhash._short(sig), np.repeat(np.arange(3), 80).astype(np.uint64), np.arange(240)
+    assert (minhash._distance(short[:100], short[100:200]) == (sig[:100] != sig[100:200]).sum(axis=1)).all()
+
+    def roots(*edges):
+        root = np.arange(240)
+        for _ in range(300):
+            for e in edges:
+                low = np.minimum(root[e[0]], root[e[1]])
+                np.minimum.at(root, e[0], low)
+                np.minimum.at(root, e[1], low)
+        return root
+
+    whole, _, _ = minhash.gather(key, doc, np.zeros(240, np.uint8), short)
+    parts, left = [], []
+    for p in range(4):
+        at = np.flatnonzero(doc % 4 == p)
+        e, stay, radius = minhash.gather(key[at], doc[at], np.zeros(len(at), np.uint8), short[at])
+        parts.append(e)
+        left.append((at[stay], radius))
+    at, radius = (np.concatenate(x) for x in zip(*left, strict=True))
+    order = np.lexsort((doc[at], key[at]))
+    e, _, _ = minhash.gather(key[at][order], doc[at][order], radius[order], short[at][order])
+    for found in (roots(whole), roots(*parts, e)):
+        for i in range(240):
+            near = np.flatnonzero((key == key[i]) & ((sig != sig[i]).sum(axis=1) <= minhash.DISTANCE))
+            assert (found[near] == found[i]).all()
 
 
 def test_components(spark):
