@@ -251,6 +251,48 @@ def test_mix(spark, rows):
     assert {x.doc_id: x.taken for x in got if x.taken} == dict(words)
 
 
+def test_mix_is_drawn_by_shards(spark, rows, monkeypatch):
+    """Each shard is full, each source's counts sum up to its slots, and what is taken comes from the draw."""
+    from contactloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    sized, targets, _, slots = mixing._prepared(frame(spark, rows), "doc_id", "text", "source", (5, 2, 1), 3, [])
+    counts = mixing.shard_counts(targets, 3)
+    got = counts.collect()
+    per, by = collections.Counter(), collections.Counter()
+    for x in got:
+        per[x.shard] += x["count"]
+        by[x.skey] += x["count"]
+    assert len(per) == -(-slots // 64) > 5 and [per[i] for i in range(len(per) - 1)] == [64] * (len(per) - 1)
+    want = {t.skey: t.slots for t in targets.collect() if t.slots}
+    assert dict(by) == want
+    # shards differ by chance around their shares
+    share = max(want, key=want.get)
+    own = [x["count"] for x in got if x.skey == share and x.shard < len(per) - 1]
+    assert len(set(own)) > 1 and abs(sum(own) / len(own) - 64 * want[share] / slots) < 6
+    drawn = mixing.draws(targets, counts, 3).collect()
+    assert {(x.skey, x.k) for x in drawn} == {(s, k) for s, n in want.items() for k in range(n)}
+    blocks = {t.skey: t.blocks for t in targets.collect()}
+    for s, n in want.items():
+        times = collections.Counter(x.block for x in drawn if x.skey == s)
+        assert set(times) <= set(range(blocks[s])) and max(times.values()) - min([times[b] for b in range(blocks[s])]) <= 1
+    assert "deal0" in mix(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mixed_rows_keep_their_columns(spark):
+    odd = odd_frame(spark, [(1, "a b c"), (1, "a b c"), (1, "d"), (None, "e f"), (None, None), (2, "")])
+    got = mixed_documents(odd).collect()
+    assert mixed_documents(odd).columns == odd.columns
+    assert all(x._stay == 1 and x.own == 5 and x._spans == "y" and x.n_chars == len(x.text) for x in got)
+    taken = collections.Counter()
+    for x in mix(odd).collect():
+        taken[x.doc_id] += x.taken
+    words = collections.Counter()
+    for x in got:
+        words[x.doc_id] += len(x.text.split())
+    assert {k: v for k, v in taken.items() if v} == dict(words)
+
+
 def test_mix_odd_rows(spark):
     odd = [row(None, "a b c", None), row(1, None, "x"), row(1, "a b", "x"), row(1, "a b", "x"), row(1, "a b", "x")]
     got = mix(frame(spark, odd)).collect()
@@ -300,6 +342,36 @@ def test_pack(spark, rows):
     assert -(-total // 1024) <= len(seqs) <= len(best_fit([x.length for x in got])) * 1.01 + 1
 
 
+@pytest.mark.parametrize("items", [16, 60])
+def test_pack_climbs_the_tree(spark, rows, monkeypatch, items):
+    """Small parts under a tree of several levels come within 1 % of one best-fit packing of all pieces."""
+    from contactloom.llm import packing
+
+    monkeypatch.setattr(packing, "ITEMS", items)
+    r = random.Random(8)
+    more = [row(10_000 + i, " ".join(r.choice(["alpha", "of", "river", "x"]) for _ in range(r.randint(1, 700)))) for i in range(900)] + rows
+    got = pack_documents(frame(spark, more)).collect()
+    seqs = collections.defaultdict(list)
+    for x in got:
+        seqs[x.sequence_id].append((x.offset, x.length))
+    for s in seqs.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len({(x.doc_id, x.piece) for x in got}) == len(got) and len(got) >= len(more)
+    assert len(seqs) <= len(best_fit([x.length for x in got])) * 1.01
+
+
+def test_equal_sizes_across_nodes(spark, monkeypatch):
+    from contactloom.llm import packing
+
+    monkeypatch.setattr(packing, "ITEMS", 4)
+    got = pack_documents(frame(spark, [row(i, "one two three") for i in range(300)])).collect()
+    assert len(got) == 300 and len({x.sequence_id for x in got}) == 2
+
+
 def test_best_fit():
     assert sorted(map(sorted, best_fit([600, 424, 500, 524, 1]))) == [[0, 1], [2, 3], [4]]
     assert best_fit([]) == []
