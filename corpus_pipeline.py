@@ -2,6 +2,11 @@
 
 Toxic documents go, then exact and near copies; the rest is mixed to target
 weights and packed into sequences.
+
+All stages: each row is a document, whatever its id; a null or repeated id makes
+rows that are judged by their own texts.  Null texts count as empty and texts
+are read whole.  Other columns, of any name, come through as they are.  An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,39 +14,50 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from contactloom.llm.blocks import ensure_checkpoints
 from contactloom.llm.exact_dedup import drop_exact_duplicates
-from contactloom.llm.minhash import near_duplicates
+from contactloom.llm.minhash import drop_near_duplicates
 from contactloom.llm.mixing import mixed_documents
 from contactloom.llm.packing import pack_documents
 from contactloom.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
+    """Documents that aren't predicted to be toxic, repeated rows as often as they are; without labels of both kinds all stay.
+
+    Empty texts aren't toxic.  The model learns from labelled rows of `docs` only.
+    """
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts (A-Z lower-cased): that of the largest id, null being the smallest.
+
+    Empty texts are equal to each other, so one stays; of rows that tie in id and text one stays.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8."""
-    keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of near copies (five words, similarity 0.8): that of the least id.
+
+    Texts without words are near to none and stay; of rows that tie in id and text one stays.
+    """
+    return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources by weight, as rows of documents."""
+    """The mix of the sources by weight, as rows of documents; a null source is a source.
+
+    Documents taken more than once come as several rows, in part as rows of their
+    words taken; those without words are left out.  Reruns agree, ties included.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix in sequences of 1024 tokens."""
+    """Pieces of the mix in sequences of at most 1024 tokens; repeated rows are packed one by one."""
     return pack_documents(docs)
 
 
