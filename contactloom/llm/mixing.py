@@ -26,7 +26,7 @@ BLOCK, BLOCKS = 512, 256
 #: Slots of an output shard, and of the rows that make them.
 SHARD = 4096
 #: Rows of a part for which running sums are made, on average.
-PART = 20_000
+PART = 2000
 ROUNDS = 24
 WORD = r"[^\x20\x09-\x0D]+"
 
