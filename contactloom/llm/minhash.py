@@ -6,9 +6,9 @@ principle, a chunk with one error at most, so a key is made for each place of
 each chunk with that place left open, 64 keys in all.  Documents of a similarity
 of 0.85 miss this with a probability below 1e-6.  Documents that share a key are
 candidates if their signatures, cut to two bits a place, differ in at most 21
-places; where a key is frequent, documents within that distance of one are
-gathered under it with the radius of what it gathered, and by the triangle
-inequality no candidate pair falls apart.  Candidates that hang together form a
+places; before the shuffle, documents that are all but equal to one are gathered
+under it with the radius of what it gathered, and by the triangle inequality no
+candidate pair falls apart.  Candidates that hang together form a
 cell.  Links are confirmed on full shingle sets inside cells: in a small cell all
 at once; in a large one first with the cell's least document, and then between
 those that aren't linked to it and all, block against block.  A task reports a
@@ -30,6 +30,9 @@ from contactloom.llm.components import components
 K, CHUNKS = 64, 11
 #: Places in which signatures of candidates differ at most.
 DISTANCE = 2 * CHUNKS - 1
+#: Places in which documents differ at most that are gathered under one, and documents of a key, in a batch and in
+#: all, from which on all that are near are: fewer then stand for the rest, and their cells are wider.
+ALIKE, MANY, MANY_IN_ALL = 2, 1024, 16_384
 #: Members of a block of a cell.
 BLOCK = 256
 SHINGLES = "rid long, doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary"
@@ -128,37 +131,64 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
-def gather(key: np.ndarray, doc: np.ndarray, radius: np.ndarray, sig: np.ndarray):
-    """Edges between documents that share a key, and the places and radii of those that stand for the rest.
+def gather(key: np.ndarray, doc: np.ndarray, radius: np.ndarray, sig: np.ndarray, many: int):
+    """A forest of edges between documents that share a key, and the places and radii of those that stand for the rest.
 
-    Items are sorted by key.  In each round the first document of a key gathers
-    those within DISTANCE of it, which leave; its radius covers them.  Others may
-    be near to something that it gathered: they get an edge and go on.
+    Items are sorted by key.  In each round the first document of a key is joined
+    with those near to it, and gathers those that are all but equal to it (of a
+    key with over `many` documents, all that are near): they leave, and its radius
+    covers them.  Others may be near to something that it gathered, so what lies
+    within the radius more is joined, too.  A key is done when all that it has
+    left is of one tree and a round gathers little; what is left stands for itself.
     """
     pool = np.arange(len(key))
-    radius = radius.astype(np.int64)
-    heads, edges = [], []
+    if len(key):
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.diff(cut)
+        reach_of = np.repeat(np.where(size > many, DISTANCE, ALIKE), size)
+    radius, tree = radius.astype(np.int64), np.arange(len(key))
+    stay, edges = [], [np.zeros((2, 0), np.int64)]
+
+    def roots(at):
+        r = tree[at]
+        while True:
+            up = tree[r]
+            if (up == r).all():
+                tree[at] = r
+                return r
+            r = up
+
     while len(pool):
         k = key[pool]
         new = np.ones(len(pool), dtype=bool)
         new[1:] = k[1:] != k[:-1]
         group = np.cumsum(new) - 1
         head = pool[new]
-        heads.append(head)
+        stay.append(head)
         rest = ~new
         pool, group = pool[rest], group[rest]
         d = _distance(sig[head[group]], sig[pool])
-        near = d <= DISTANCE
+        near = d <= reach_of[pool]
         reach = radius[head]
         np.maximum.at(reach, group[near], d[near] + radius[pool[near]])
         reach = np.minimum(reach, K)
         radius[head] = reach
-        linked = near | (d <= DISTANCE + reach[group] + radius[pool])
-        edges.append(np.stack((doc[head[group[linked]]], doc[pool[linked]])))
-        pool = pool[~near]
-    stay = np.sort(np.concatenate(heads)) if heads else np.zeros(0, np.int64)
-    pair = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
-    return np.unique(np.sort(pair, axis=0), axis=1), stay, radius[stay]
+        linked = np.flatnonzero(d <= DISTANCE + reach[group] + radius[pool])
+        # one edge joins a tree to that of the head
+        top, own = roots(head), roots(pool)
+        other = linked[own[linked] != top[group[linked]]]
+        _, first = np.unique(own[other], return_index=True)
+        other = other[first]
+        edges.append(np.stack((doc[head[group[other]]], doc[pool[other]])))
+        tree[own[other]] = top[group[other]]
+        pool, group, left = pool[~near], group[~near], np.bincount(group, minlength=len(head))
+        gathered = np.bincount(group, minlength=len(head)) * 10 <= left * 9
+        apart = np.bincount(group[roots(pool) != roots(head)[group]], minlength=len(head)) > 0
+        on = (gathered | apart)[group]
+        stay.append(pool[~on])
+        pool = pool[on]
+    at = np.sort(np.concatenate(stay)) if stay else np.zeros(0, np.int64)
+    return np.unique(np.sort(np.concatenate(edges, axis=1), axis=0), axis=1), at, radius[at]
 
 
 def _deal_keys(n: int):
@@ -172,7 +202,7 @@ def _deal_keys(n: int):
                 order = np.lexsort((at, key))
                 key, at = key[order], at[order]
                 short = _short(sig)
-                pair, stay, radius = gather(key, rid[at], np.zeros(len(key), np.uint8), short[at])
+                pair, stay, radius = gather(key, rid[at], np.zeros(len(key), np.uint8), short[at], MANY)
                 B.deal(B.doc_bucket(pair[1], n), 1, ("<i8", "<i8"), (pair[0], pair[1]), rows)
                 back = np.argsort(at[stay], kind="stable")
                 key, at, radius = key[stay][back], at[stay][back], radius[back]
@@ -202,7 +232,7 @@ def _meet(batches):
     more[:-1] |= k[1:] == k[:-1]
     order = order[more]
     order = order[np.lexsort((doc[order], key[order]))]
-    pair, _, _ = gather(key[order], doc[order], radius[order], np.stack((one[order], two[order]), axis=1))
+    pair, _, _ = gather(key[order], doc[order], radius[order], np.stack((one[order], two[order]), axis=1), MANY_IN_ALL)
     yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 

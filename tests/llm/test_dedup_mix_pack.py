@@ -159,7 +159,8 @@ def test_split_join_of_large_tables(spark, monkeypatch):
     assert sorted(map(tuple, blocks.split_join(left, right, ["k"], "count", [F.col("id")]).select("id", "k", "v").collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_gather_loses_no_pair():
+@pytest.mark.parametrize("many", [10, 1000])
+def test_gather_loses_no_pair(many):
     """Items within the distance hang together by the edges, whether dealt at once or gathered in two steps."""
     from contactloom.llm import minhash
 
@@ -178,16 +179,16 @@ def test_gather_loses_no_pair():
                 np.minimum.at(root, e[1], low)
         return root
 
-    whole, _, _ = minhash.gather(key, doc, np.zeros(240, np.uint8), short)
+    whole, _, _ = minhash.gather(key, doc, np.zeros(240, np.uint8), short, many)
     parts, left = [], []
     for p in range(4):
         at = np.flatnonzero(doc % 4 == p)
-        e, stay, radius = minhash.gather(key[at], doc[at], np.zeros(len(at), np.uint8), short[at])
+        e, stay, radius = minhash.gather(key[at], doc[at], np.zeros(len(at), np.uint8), short[at], many)
         parts.append(e)
         left.append((at[stay], radius))
     at, radius = (np.concatenate(x) for x in zip(*left, strict=True))
     order = np.lexsort((doc[at], key[at]))
-    e, _, _ = minhash.gather(key[at][order], doc[at][order], radius[order], short[at][order])
+    e, _, _ = minhash.gather(key[at][order], doc[at][order], radius[order], short[at][order], many)
     for found in (roots(whole), roots(*parts, e)):
         for i in range(240):
             near = np.flatnonzero((key == key[i]) & ((sig != sig[i]).sum(axis=1) <= minhash.DISTANCE))
