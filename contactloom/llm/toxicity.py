@@ -2,14 +2,17 @@
 
 The kernel of two words counts their common subsequences of three characters,
 each weighted by DECAY to the power of the span it takes in both, normalised; so
-gaps and inserted characters cost a little and don't hide a word.  Landmarks are
-chosen from the labelled sentences, and the Nyström map
-k(word, landmarks) K^-1/2 makes words vectors.  A linear machine is trained on
-the words of labelled sentences: a toxic text is as toxic as its worst word, so
-its positive is that word, and the negatives are the words of clean texts.
-Kernels are evaluated only where a word has all but a fifth of a landmark's
-distinct characters, and are zero elsewhere.  ASCII punctuation within and beside
-words is left out first, and runs of single characters ("i d i o t") are words, too.
+gaps and inserted characters cost a little and don't hide a word.  A sentence's
+kernel with a landmark is that of its word that is most alike, and the Nyström map
+K^-1/2 makes these a vector.  A linear machine is trained on the sentences of
+labelled texts: all sentences of clean texts are negative; of a toxic text the
+sentence that is now the worst is positive, and so again in rounds.  Landmarks are
+words of toxic sentences; what weight they have, if any, the machine finds.  A
+text is scored by its worst sentence, and by how many of its sentences are beyond
+the margin, put together by a logistic fit on margins of left-out texts.  Kernels
+are evaluated only where a word has all but a fifth of a landmark's distinct
+characters, and are zero elsewhere.  ASCII punctuation within and beside words is
+left out first, and runs of single characters ("i d i o t") are words, too.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ POWER = 2
 LANDMARKS, ALIKE, LENGTH = 64, 0.6, 40
 #: Labelled rows of each kind that are learned from at most, those of the least hash of the id.
 SAMPLE = 2000
-#: Words whose scores a worker remembers at a time.
-MEMORY = 2_000_000
+#: Words whose kernels a worker remembers at a time, and those of them that have any.
+MEMORY, LIVE = 2_000_000, 200_000
+#: Words of a sentence at most; longer ones are cut.
+SENTENCE = 48
+#: Clean texts for each toxic one that the logistic fit reckons with, whatever the sample holds.
+CLEAN = 4
 
 
 def _table(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,39 +143,64 @@ _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+_HEAD = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b".!?")] = True
+
+
 def candidates(data: np.ndarray, at: np.ndarray):
-    """Bytes without punctuation, and (starts, ends, row) in them of the words and
-    of the runs of single characters of a chunk."""
+    """Bytes without punctuation, and (starts, ends, row, sentence) in them of the words and
+    of the runs of single characters of a chunk; sentences are numbered through the chunk.
+
+    A sentence ends at a line feed, or at a full stop, exclamation or question mark
+    before white space, or after SENTENCE words.
+    """
     data = B.LOWER[data]
     starts, ends, first = B.split_words(data, at)
     row = B.rows_of(first)
+    stop = _STOP[data] & np.append(B.SPACE[data[1:]], True) if len(data) else _STOP[data]
+    stop = np.concatenate(([0], np.cumsum(stop | (data == 10))))
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (stop[starts[1:]] != stop[starts[:-1]])
+    place = np.arange(len(starts)) - (np.flatnonzero(new)[np.cumsum(new) - 1] if len(starts) else 0)
+    sentence = np.cumsum(new | (place % SENTENCE == 0)) - 1
     keep = ~_PUNCTUATION[data]
     place = np.concatenate(([0], np.cumsum(keep)))
     starts, ends = place[starts], place[ends]
     some = ends > starts
-    starts, ends, row = starts[some], ends[some], row[some]
-    if not len(starts):
-        return data[keep & ~B.SPACE[data]], starts, ends, row
+    starts, ends, row, sentence = starts[some], ends[some], row[some], sentence[some]
     # without the spaces, words of one run lie side by side
     solid = keep & ~B.SPACE[data]
+    if not len(starts):
+        return data[solid], starts, ends, row, sentence
     shift = np.concatenate(([0], np.cumsum(solid[keep])))
     starts, ends = shift[starts], shift[ends]
-    one = ends - starts == 1
+    data = data[solid]
+    chars = np.concatenate(([0], np.cumsum(_HEAD[data])))
+    one = chars[ends] - chars[starts] == 1
     joined = one.copy()
     joined[1:] &= one[:-1] & (row[1:] == row[:-1])
     joined[0] = False
     begin = np.flatnonzero(one & ~joined)
     after = np.append(np.flatnonzero(~joined), len(starts))
-    stop = after[np.searchsorted(after, begin, "right")]
-    long = stop - begin >= ORDER
-    begin, stop = begin[long], stop[long] - 1
-    return data[solid], np.concatenate((starts, starts[begin])), np.concatenate((ends, ends[stop])), np.concatenate((row, row[begin]))
+    end = after[np.searchsorted(after, begin, "right")]
+    long = end - begin >= ORDER
+    begin, end = begin[long], end[long] - 1
+    return data, np.concatenate((starts, starts[begin])), np.concatenate((ends, ends[end])), np.concatenate((row, row[begin])), np.concatenate((sentence, sentence[begin]))
 
 
-def _words_of(text: bytes) -> list[bytes]:
-    raw, s, e, _ = candidates(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+def _words_of(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    raw, s, e, _, sentence = candidates(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     raw = raw.tobytes()
-    return [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+    return [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], sentence
+
+
+def _pooled(kernel: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest kernels of each sentence, and the sentences; rows are those of their words."""
+    order = np.argsort(sentence, kind="stable")
+    s = sentence[order]
+    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    return (np.maximum.reduceat(kernel[order], cut, axis=0) if len(s) else kernel), s[cut]
 
 
 @dataclass
@@ -177,20 +209,30 @@ class Model:
     map: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    #: Of a constant, the worst margin, and how many sentences are beyond the margin of all there are.
+    logistic: np.ndarray
 
-    def scorer(self):
-        marks = Landmarks(self.landmarks, self.map)
-        v = self.map @ self.weights
+    def probability(self, worst: np.ndarray, beyond: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_facts(worst, beyond, number) @ self.logistic, -40, 40)))
 
-        def margins(words: list[bytes]) -> np.ndarray:
-            return marks.kernel(words) @ v + self.bias
 
-        return margins
+def _facts(worst: np.ndarray, beyond: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """What is known of texts: worst margin, sentences beyond the margin, sentences."""
+    return np.stack((np.ones(len(worst)), np.clip(worst, -4, 4), np.log1p(beyond), np.log1p(beyond) - np.log1p(number)), axis=1)
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Penalised logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    lam = np.full(len(w), 1e-3)
+    lam[0] = 0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (cost * (p - y)) + lam * w
+        h = (x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(lam + 1e-9)
+        step = np.linalg.solve(h, g)
+        w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+    return w
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -226,76 +268,98 @@ def _landmarks(words: list[bytes]) -> list[bytes]:
 
 
 def fit(toxic: list[bytes], clean: list[bytes]) -> Model | None:
-    """A model of labelled texts; None if there aren't both kinds.
+    """A model of labelled texts; None if there aren't both kinds, or nothing sets them apart.
 
-    Words that mark toxic texts have the largest log odds of occurring in them.
+    Landmarks are proposed in the order of their log odds of occurring in toxic texts.
     """
     if not toxic or not clean:
         return None
     number: dict[bytes, int] = {}
-    texts = [np.unique(np.array([number.setdefault(w, len(number)) for w in _words_of(t)], np.int64)) for t in (*toxic, *clean)]
+    words_of = [_words_of(t) for t in (*toxic, *clean)]
+    texts = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws, _ in words_of]
+    sentences = [s for _, s in words_of]
+    del words_of
     words = list(number)
-    v, nb = len(words), len(toxic)
-    a = np.bincount(np.concatenate([t for t in texts[:nb]] or [[]]).astype(np.int64), minlength=v)
-    b = np.bincount(np.concatenate([t for t in texts[nb:]] or [[]]).astype(np.int64), minlength=v)
-    odds = np.log((a + 0.5) / (b * nb / len(clean) + 0.5))
+    v, nb, nc = len(words), len(toxic), len(clean)
+    a, b = (np.bincount(np.concatenate([np.unique(t) for t in some] or [np.zeros(0, np.int64)]), minlength=v) for some in (texts[:nb], texts[nb:]))
+    odds = np.log((a + 0.5) / (b * nb / nc + 0.5))
     length = np.array([len(w) for w in words])
     marked = np.flatnonzero((odds > 1.0) & (length >= ORDER) & (a >= max(2, 0.002 * nb)))
     # likely by chance: a word that is rare in toxic texts and hardly more frequent there
-    marked = marked[(a[marked] - b[marked] * nb / len(clean)) ** 2 > 2.5 * np.maximum(a[marked], 1)]
+    marked = marked[(a[marked] - b[marked] * nb / nc) ** 2 > 2.5 * np.maximum(a[marked], 1)]
     if not len(marked):
         return None
     order = sorted(marked.tolist(), key=lambda i: (-odds[i] * np.log1p(a[i]), words[i]))
-    known = {words[i] for i in order}
     marks = Landmarks(_landmarks([words[i] for i in order]))
-    # vectors of the words that some landmark has a kernel with; all others are one point, the last row
+    # kernels of the words that have any
     rows, place = [], np.full(v, -1, np.int64)
     for c in range(0, v, 20_000):
         k = marks.kernel(words[c : c + 20_000])
         live = np.flatnonzero(k.any(axis=1))
         place[c + live] = sum(map(len, rows)) + np.arange(len(live))
-        rows.append((k[live] @ marks.map).astype(np.float32))
-    x = np.concatenate((*rows, np.zeros((1, marks.map.shape[1]), np.float32)))
-    del rows, k
-    live = np.flatnonzero(place >= 0)
-    is_marked = np.zeros(v, dtype=bool)
-    is_marked[order] = True
-    varied = marks.vectors(sorted({u for w in known for u in _varied(w)} - set(words)) or [b"?"]).astype(np.float32)
-    own = live[~is_marked[live] & (b[live] > 0)]
-    positive, negative = place[is_marked], place[own]
-
-    # words weigh by the texts that they occur in
-    often = a[is_marked] / a[is_marked].sum()
-    rarely = b[own] / len(clean)
-
-    def machine(pos, heavy, neg, light):
-        data = np.concatenate((x[pos], varied, x[neg], x[-1:]))
-        y = np.concatenate((np.ones(len(pos) + len(varied)), -np.ones(len(neg) + 1)))
-        cost = np.concatenate((4 * heavy / heavy.sum(), np.full(len(varied), 0.5 / len(varied)), light / max(1e-9, light.sum()), [1.0]))
-        return _machine(data, y, cost)
-
-    w, bias = machine(positive, often, negative, rarely)
-    score = (x @ w + bias)[place]
-
-    def worst(some):
-        return np.unique(np.array([t[np.argmax(score[t])] for t in some if len(t)], np.int64), return_counts=True)
-
-    # the worst word of each toxic text is its positive, that of a clean one a negative
-    (up, un), (down, dn) = worst(texts[:nb]), worst(texts[nb:])
-    w, bias = machine(np.concatenate((positive, place[up])), np.concatenate((often, un / un.sum())), np.concatenate((negative, place[down])), np.concatenate((rarely / max(1e-9, rarely.sum()), dn / dn.sum())))
-    score = (x @ w + bias)[place]
-    m = np.array([score[t].max() if len(t) else bias for t in texts])
-    truth = np.concatenate((np.ones(nb), np.zeros(len(clean))))
-    # the threshold that errs least, and a slope for probabilities
-    by = np.argsort(m, kind="stable")
-    ms, ts = m[by], truth[by]
-    wrong = np.concatenate(([0], np.cumsum(ts))) + np.concatenate((np.cumsum((1 - ts)[::-1])[::-1], [0]))
-    wrong[1:-1][ms[1:] == ms[:-1]] = np.inf
-    ends = np.concatenate(([ms[0] - 1], ms, [ms[-1] + 1]))
-    at = max(np.flatnonzero(wrong == wrong.min()), key=lambda i: (ends[i + 1] - ends[i], -i))
-    cut = (ends[at] + ends[at + 1]) / 2
-    slope = 4 / max(0.25, float(np.median(m[truth == 1]) - np.median(m[truth == 0])) / 2)
-    return Model(marks.words, marks.map, w, float(bias), slope, float(-slope * cut))
+        rows.append(k[live])
+    kernel = np.concatenate(rows)
+    # the sentences that have such words
+    pools, owner, size = [], [], np.array([len(np.unique(s)) for s in sentences])
+    for i, (t, s) in enumerate(zip(texts, sentences, strict=True)):
+        at = place[t]
+        pool, _ = _pooled(kernel[at[at >= 0]], s[at >= 0])
+        pools.append(pool)
+        owner.append(np.full(len(pool), i))
+    x, owner = np.concatenate(pools) @ marks.map, np.concatenate(owner)
+    x = x.astype(np.float32)
+    truth = np.arange(nb + nc) < nb
+    fold = np.arange(nb + nc) % 3
+
+    def per_text(score: np.ndarray, bias: float):
+        worst, beyond = np.full(nb + nc, bias), np.zeros(nb + nc)
+        np.maximum.at(worst, owner, score)
+        np.add.at(beyond, owner, score > 0)
+        return worst, beyond
+
+    def worst_of(score: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The worst sentence of each of some texts."""
+        by = np.lexsort((-score, owner))
+        by = by[some[owner[by]]]
+        return by[np.concatenate(([True], owner[by][1:] != owner[by][:-1]))] if len(by) else by
+
+    def varied(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Vectors of the worst words of some sentences' texts, with a character more or less."""
+        score = kernel @ (marks.map @ w)
+        found = set()
+        for i in np.unique(owner[at]).tolist():
+            t = texts[i][place[texts[i]] >= 0]
+            found.add(words[t[np.argmax(score[place[t]])]])
+        return marks.vectors(sorted({u for f in found for u in _varied(f)})).astype(np.float32)
+
+    def machine(inside: np.ndarray, rounds: int = 3):
+        """Trained on the texts inside."""
+        own = inside[owner]
+        up, down = np.flatnonzero(own & truth[owner]), np.flatnonzero(own & ~truth[owner])
+        share = 1 / np.bincount(owner, minlength=nb + nc)[owner[up]] if len(up) else np.zeros(0)
+        more, hard, zero = np.zeros((0, x.shape[1]), np.float32), down[:0], np.zeros((1, x.shape[1]), np.float32)
+        for _ in range(rounds):
+            data = np.concatenate((x[up], more, x[down], x[hard], zero))
+            y = np.concatenate((np.ones(len(up) + len(more)), -np.ones(len(down) + len(hard) + 1)))
+            each = [(share, 4.0), (np.ones(len(more)), 0.5), (np.ones(len(down)), 1.0), (np.ones(len(hard)), 1.0), (np.ones(1), 1.0)]
+            cost = np.concatenate([c * (t / c.sum() if len(c) else 0) for c, t in each])
+            w, bias = _machine(data, y, cost)
+            score = x @ w + bias
+            up, hard = worst_of(score, inside & truth), worst_of(score, inside & ~truth)
+            share, more = np.ones(len(up)), varied(up, w) if len(up) else more
+        return w, bias, score
+
+    facts = np.zeros((nb + nc, 4))
+    for f in range(3):
+        out = fold == f
+        if not truth[~out].any():
+            return None
+        _, bias, score = machine(~out)
+        worst, beyond = per_text(score, bias)
+        facts[out] = _facts(worst, beyond, size)[out]
+    w, bias, _ = machine(np.ones(nb + nc, dtype=bool))
+    cost = np.where(truth, 1.0, CLEAN * nb / nc)
+    return Model(marks.words, marks.map, w, float(bias), _logistic(facts, truth.astype(float), cost))
 
 
 def held_out(doc_id: int) -> bool:
@@ -326,7 +390,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 class Scorer:
-    """Scores columns of texts; remembers the margins of words."""
+    """Scores columns of texts; remembers the kernels of words."""
 
     #: Bytes of text whose words are held at a time.
     HELD = 4 << 20
@@ -334,8 +398,14 @@ class Scorer:
     def __init__(self, model: Model | None):
         self.model = model
         if model is not None:
-            self.margins, self.poly = model.scorer(), B.Poly(17)
-        self.known_h, self.known_m = np.zeros(0, np.uint64), np.zeros(0)
+            self.marks, self.poly = Landmarks(model.landmarks, model.map), B.Poly(17)
+            self.weights = model.map @ model.weights
+            self._forget()
+
+    def _forget(self) -> None:
+        """Of a word: its hash, and the row of its kernels, -1 if it has none."""
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kernel = np.zeros((0, len(self.marks.words)), np.float32)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.zeros(len(column))
@@ -344,16 +414,16 @@ class Scorer:
         parts, fresh, held = [], {}, 0
         for i, data, at in B.chunks(column):
             rows, size = len(at) - 1, len(data)
-            data, s, e, row = candidates(data, at)
+            data, s, e, row, sentence = candidates(data, at)
             h = self.poly.slices(self.poly.sums(self.poly.table[data]), s, e)
             u, first, back = np.unique(h, return_index=True, return_inverse=True)
-            place = np.minimum(np.searchsorted(self.known_h, u), max(0, len(self.known_h) - 1))
-            new = self.known_h[place] != u if len(self.known_h) else np.ones(len(u), dtype=bool)
+            place = np.minimum(np.searchsorted(self.known, u), max(0, len(self.known) - 1))
+            new = self.known[place] != u if len(self.known) else np.ones(len(u), dtype=bool)
             raw, f = data.tobytes(), first[new]
             for k, a, b in zip(u[new].tolist(), s[f].tolist(), e[f].tolist(), strict=True):
                 if k not in fresh:
                     fresh[k] = raw[a:b]
-            parts.append((i, rows, u, back.astype(np.int32), row.astype(np.int32)))
+            parts.append((i, rows, u, back.astype(np.int32), row.astype(np.int32), sentence.astype(np.int32)))
             held += size
             if held >= self.HELD:
                 self._flush(parts, fresh, out)
@@ -362,32 +432,60 @@ class Scorer:
         return out
 
     def _flush(self, parts: list, fresh: dict, out: np.ndarray) -> None:
+        if len(self.known) > MEMORY or len(self.kernel) > LIVE:
+            used = np.isin(self.known, np.concatenate([p[2] for p in parts])) if parts else np.zeros(len(self.known), dtype=bool)
+            self.known, self.row = self.known[used], self.row[used]
+            live = self.row >= 0
+            self.kernel = self.kernel[self.row[live]]
+            self.row[live] = np.arange(len(self.kernel))
         if fresh:
-            if len(self.known_h) > MEMORY:
-                used = np.isin(self.known_h, np.concatenate([p[2] for p in parts]))
-                self.known_h, self.known_m = self.known_h[used], self.known_m[used]
-            h = np.concatenate((self.known_h, np.fromiter(fresh, np.uint64, len(fresh))))
-            m = np.concatenate((self.known_m, self.margins(list(fresh.values()))))
+            k = self.marks.kernel(list(fresh.values()))
+            live = k.any(axis=1)
+            row = np.where(live, len(self.kernel) + np.cumsum(live) - 1, -1)
+            self.kernel = np.concatenate((self.kernel, k[live]))
+            h, row = np.concatenate((self.known, np.fromiter(fresh, np.uint64, len(fresh)))), np.concatenate((self.row, row))
             order = np.argsort(h, kind="stable")
-            self.known_h, self.known_m = h[order], m[order]
-        for i, rows, u, back, row in parts:
-            worst = np.full(rows, self.model.bias)
+            self.known, self.row = h[order], row[order]
+        for i, rows, u, back, row, sentence in parts:
+            worst, beyond, number = np.full(rows, self.model.bias), np.zeros(rows), np.zeros(rows)
             if len(u):
-                np.maximum.at(worst, row, self.known_m[np.searchsorted(self.known_h, u)][back])
-            out[i : i + rows] = self.model.probability(worst)
+                at = self.row[np.searchsorted(self.known, u)][back]
+                first = np.unique(sentence, return_index=True)[1]
+                number = np.bincount(row[first], minlength=rows)
+                owner = row[first]
+                pool, own = _pooled(self.kernel[at[at >= 0]], sentence[at >= 0])
+                score = pool @ self.weights + self.model.bias
+                # sentences are numbered through, but words without punctuation may leave some out
+                owner = owner[np.searchsorted(np.sort(sentence[first]), own)]
+                np.maximum.at(worst, owner, score)
+                np.add.at(beyond, owner, score > 0)
+            out[i : i + rows] = self.model.probability(worst, beyond, number)
+
+
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def scorer_of(packed: bytes) -> Scorer:
+    """The worker's scorer of a model, kept from task to task with the words that it knows."""
+    if packed not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[packed] = Scorer(pickle.loads(packed))
+    return _SCORERS[packed]
 
 
 def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= 0.5) of each row.
 
-    A text is scored by its worst word; empty and null texts get the score of a
-    text without any.  One row for each row, repeated and null ids included (a
+    A text is scored by its worst sentence and the share of such ones, whole
+    however long; empty and null texts get the score of a text without any.  One row for each row, repeated and null ids included (a
     null id is not held out); other columns are not read.  Without a model
     nothing is known to be toxic: the score is 0.
     """
 
+    packed = pickle.dumps(model)
+
     def run(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(packed)
         for batch in batches:
             score = scorer.scores(batch.column(1))
             ids = batch.column(0).to_pylist()
@@ -404,8 +502,10 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     """The rows that aren't predicted to be toxic, all columns as they are; nothing is shuffled."""
     at = docs.columns.index(text_col)
 
+    packed = pickle.dumps(model)
+
     def run(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(packed)
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores(batch.column(at)) < 0.5))
 

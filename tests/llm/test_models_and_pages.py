@@ -190,6 +190,34 @@ def test_toxicity(spark, insulted):
     assert kept.columns == df.columns and kept.count() == sum(1 - r.predicted for r in out)
 
 
+def test_candidates_of_texts():
+    """Runs of single characters are words, whatever their bytes; sentences end at marks, line feeds and after many words."""
+    words, sentence = toxicity._words_of("You c r é t i n! go.on a-b\nNext И Д И О Т x yz".encode())
+    assert [w.decode() for w in words] == "you c r é t i n goon ab next И Д И О Т x yz crétin ИДИОТx".split()
+    assert sentence.tolist() == [0] * 7 + [1] * 2 + [2] * 8 + [0, 2]
+    words, sentence = toxicity._words_of(b"ab " * 100)
+    assert len(words) == 100 and sentence.tolist() == [0] * 48 + [1] * 48 + [2] * 4
+    assert toxicity._words_of(b"") [0] == [] and toxicity._words_of(b" !! \n")[0] == []
+
+
+def test_scores_do_not_depend_on_batches(insulted):
+    """A text has one score, alone or beside others, in one chunk or several, also after what was known is forgotten."""
+    docs, labels = insulted
+    model = toxicity.fit([t.encode() for (_, t, *_), (_, _, y) in zip(docs, labels, strict=True) if y][:100], [t.encode() for (_, t, *_), (_, _, y) in zip(docs, labels, strict=True) if not y][:200])
+    texts = [t for _, t, *_ in docs[:80]] + [None, "", "!!", " ".join(t for _, t, *_ in docs) * 8, " ".join(t for (_, t, *_), (_, _, y) in zip(docs, labels, strict=True) if not y) * 20]
+    whole = toxicity.Scorer(model).scores(pa.array(texts, pa.string()))
+    scorer = toxicity.Scorer(model)
+    scorer.HELD = 1000
+    old, toxicity.MEMORY = toxicity.MEMORY, 50
+    try:
+        parts = np.concatenate([scorer.scores(pa.array([t], pa.string())) for t in texts])
+    finally:
+        toxicity.MEMORY = old
+    assert np.allclose(whole, parts)
+    # a long text that is toxic throughout, and one that is clean
+    assert whole[-2] >= 0.5 > whole[-1]
+
+
 def test_toxicity_never_learns_from_held_out_rows(spark, insulted):
     docs, labels = insulted
     df = spark.createDataFrame(docs, SCHEMA)
