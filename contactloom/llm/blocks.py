@@ -285,7 +285,7 @@ def text_key(text: Column) -> list[Column]:
 
 
 #: Rows of a table with one row a key that are broadcast at most, and keys that can each hold 1/HOT of the rows.
-SMALL, HOT = 50_000, 1000
+SMALL, HOT = 10_000, 1000
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: list[Column]) -> DataFrame:

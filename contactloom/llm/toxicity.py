@@ -36,7 +36,7 @@ LANDMARKS, ALIKE, LENGTH = 64, 0.6, 40
 #: Labelled rows of each kind that are learned from at most, those of the least hash of the id.
 SAMPLE = 2000
 #: Words whose kernels a worker remembers at a time, and those of them that have any.
-MEMORY, LIVE = 2_000_000, 200_000
+MEMORY, LIVE = 1_000_000, 100_000
 #: Words of a sentence at most; longer ones are cut.
 SENTENCE = 48
 #: Clean texts for each toxic one that the logistic fit reckons with, whatever the sample holds.
