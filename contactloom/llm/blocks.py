@@ -284,8 +284,8 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t), F.xxhash64(t, F.lit(1))]
 
 
-#: Rows of a table with one row a key that are broadcast at most, and keys that can each hold 1/HOT of the rows.
-SMALL, HOT = 10_000, 1000
+#: Rows of a table with one row a key that are broadcast at most, and share (1/HOT) of the rows from which on a key is hot.
+SMALL, HOT = 1000, 1000
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: list[Column]) -> DataFrame:

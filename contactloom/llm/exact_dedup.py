@@ -83,14 +83,18 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one stays.  Nulls, empty texts and empty tables as for exact_duplicates; any
     column names may occur.
     """
-    size, prefix, again, sha, key, keep, n = B.fresh(docs.columns, "size", "prefix", "again", "sha", "key", "keep", "n")
-    own = F.col(id_col).cast("long")
-    rows = _refined(docs, text_col, own, False, [size, prefix, again, sha])
-    narrow = B.checkpoint(rows.filter(F.col(again).isNotNull()).select(own.alias("doc_id"), F.lit(True).alias("again"), F.col(sha).alias("sha")))
-    groups = _groups(narrow).select(F.col("sha").alias(key), F.col("keep").alias(keep), F.col("n").alias(n))
-    left = rows.withColumn(key, F.coalesce(F.col(sha), F.concat(F.lit("-"), F.xxhash64(own).cast("string"))))
-    out = B.split_join(left, groups, [key], n, [own]).filter(F.col(n).isNull() | own.eqNullSafe(F.col(keep)))
-    # rows that repeat id and text were judged alike; they are only looked for where there are some
-    if narrow.groupBy("doc_id", "sha").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, size, prefix, key])
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _refined(base, "text", F.col("doc_id"), False, ["size", "prefix", "again", "sha"])
+    rows = B.checkpoint(rows.filter("again is not null").select("doc_id", "sha", B.text_key(F.col("text"))[0].alias("key")))
+    # of texts with one id that differ in case one stands for the group
+    row = F.struct("doc_id", "key")
+    groups = B.checkpoint(rows.groupBy("sha").agg(F.max(row).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    gone = B.split_join(rows, groups, ["sha"], "n", [F.col("doc_id")]).filter(F.col("n").isNotNull() & ~row.eqNullSafe(F.col("top")))
+    own, key, other, hash_ = B.fresh(docs.columns, "own", "key", "other", "hash")
+    left = docs.withColumns({own: F.col(id_col).cast("long"), key: B.text_key(F.col(text_col))[0]})
+    # rows that repeat id and text were judged alike and go as one; they are only looked for where there are some
+    if rows.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates([own, key])
+    gone = gone.select(F.col("doc_id").alias(other), F.col("key").alias(hash_))
+    out = left.join(gone.hint("shuffle_hash"), F.col(own).eqNullSafe(F.col(other)) & (F.col(key) == F.col(hash_)), "left_anti")
     return out.select(*docs.columns)
