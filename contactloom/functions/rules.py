@@ -94,27 +94,34 @@ def is_foreign_address(c: Column) -> Column:
 
 
 def role_score(local: Column, domain: Column, context: Column) -> Column:
-    """V9: struct of class, score and reason; words of a shared mailbox decide at once."""
-    low = F.lower(F.trim(local))
-    words = F.array(*[F.lit(w) for w in V.ROLE_WORDS])
-    parts = lambda c: F.split(F.lower(c), "[._+-]")
+    """V9: struct of class, score and reason.
+
+    A whole local part, a fragment, or a word of it that names a role decides, in
+    this order; otherwise the words of the domain, the shape of a person's name
+    and the context move the score from a half.
+    """
+    low = F.lower(F.trim(F.coalesce(local, F.lit(""))))
+    words = F.array(*[F.lit(w) for w in (*V.ROLE_WORDS, *V.ROLE_FRAGMENTS)])
+    parts = lambda c: F.transform(F.split(F.lower(c), "[._+-]"), lambda x: F.regexp_replace(x, "^[-_.]+|[-_.]+$", ""))
     bad = (low == "") | low.contains("@")
-    whole = F.arrays_overlap(parts(low), words)
-    inside = any_of(low, ["noreply", "no-reply", "donotreply", "do-not-reply"])
+    whole = F.regexp_like(low, F.lit(f"^(?:{V.ROLE_LOCAL})$"))
+    inside = F.regexp_like(low, F.lit(f"(?<![A-Za-zА-Яа-яЁё0-9])(?:{'|'.join(V.ROLE_FRAGMENTS)})(?![A-Za-zА-Яа-яЁё])"))
+    token = F.arrays_overlap(parts(low), words)
     ctx = F.lower(F.coalesce(context, F.lit("")))
-    at_domain = F.arrays_overlap(parts(F.coalesce(domain, F.lit(""))), words)
-    named = F.regexp_like(low, F.lit("^([a-z]{3,}[._-][a-z]{3,}|[a-z]\\.[a-z]{3,}|[a-z]{3,}\\.[a-z])$"))
-    author = any_of(ctx, ["corresponding author", "author", "автор"])
-    dept = any_of(ctx, ["department", "office", "кафедра", "отдел"])
+    at_domain = F.arrays_overlap(parts(F.trim(F.coalesce(domain, F.lit("")))), words)
+    named = F.regexp_like(low, F.lit(V.NAME_SHAPE))
+    author = F.regexp_like(ctx, F.lit(V.AUTHOR_CONTEXT))
+    dept = F.regexp_like(ctx, F.lit(V.ROLE_CONTEXT))
     add = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + add(at_domain, -0.15) + add(named, 0.25) + add(author, 0.15) + add(dept, -0.2))), 3)
-    reason = F.concat_ws(",", F.when(at_domain, F.lit("role-domain")), F.when(named, F.lit("name-like")), F.when(author, F.lit("author-context")), F.when(dept, F.lit("dept-context")))
-    role = inside | whole
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + add(at_domain, -0.15) + add(named, 0.25) + add(author, 0.15) + add(dept, -0.2)))
+    score = F.round(score, 3)
+    reason = F.concat_ws(",", F.when(at_domain, F.lit("role-domain")), F.when(named, F.lit("fio-like")), F.when(author, F.lit("author-context")), F.when(dept, F.lit("dept-context")))
+    role = whole | inside | token
     final = F.when(bad, F.lit(0.5)).when(role, F.lit(0.0)).otherwise(score)
     return F.struct(
         F.when(bad, "unknown").when(role | (score <= 0.35), "role").when(score >= 0.65, "personal").otherwise("unknown").alias("role_class"),
         final.alias("role_score"),
-        F.when(bad, "invalid-local").when(inside, "role-fragment").when(whole, "role-local").when(reason == "", "baseline").otherwise(reason).alias("role_reason"),
+        F.when(bad, "invalid-local").when(whole, "role-local").when(inside, "role-fragment").when(token, "role-local").when(reason == "", "baseline").otherwise(reason).alias("role_reason"),
     )
 
 

@@ -19,11 +19,23 @@ KNOWN_TLDS = (
     "ru su by kz ua uz kg am az ge xn--p1ai xn--80asehdb us uk ca de fr it pl cz sk ch se no fi es pt nl be tr cn jp kr lt lv ee in br ar au nz at "
     "dk gr hu ro rs bg md il ie hk sg my id th vn pk ae qa sa eg ma tn al mk ba hr si me is li za ng ke"
 ).split()
-# Words of a local part that mark a shared mailbox.
-ROLE_WORDS = [
-    "info", "contact", "admin", "support", "help", "sales", "office", "press", "editor", "editorial", "journal", "admissions", "career", "hr", "department",
-    "dean", "reception", "mail", "postmaster", "webmaster", "noreply", "marketing", "media", "jobs", "hello", "team", "newsletter", "service", "services",
-]
+# Words of a local part or domain that mark a shared mailbox.
+ROLE_WORDS = (
+    "info kontakt contact service support help sales office press pressa editor editors editorial journals journal admissions career hr department dean "
+    "reception priem otdel kafedra dekanat spravka redak rekto uchsec magistr bakalavr aspirant nauka kantsel public ojs mailer mail postmaster webmaster"
+).split()
+# Parts of a local part that mark one, where no letter or digit stands before and no letter after.
+ROLE_FRAGMENTS = (
+    "admin marketing media jobs recruit hello hi team newsletter services editor editorial press career hr postmaster noreply no-reply donotreply "
+    "do-not-reply service support sales kafedra кафедра dekanat деканат priem прием priemnaya приемная redakciya редакция otdel отдел buh бухг kadr кадр "
+    "ucheb учебн biblioteka библиотека magistratura магистратура aspirantura аспирантура kanc канцеляр iis it-otdel it lab лаборатория dep department "
+    "faculty fac fakultet факультет kurs курс metod метод"
+).split()
+# Whole local parts of roles, contexts of authors and of departments, and the shape of a person's name.
+ROLE_LOCAL = "no[-_.]?reply|do[-_.]?not[-_.]?reply|postmaster|webmaster|mailer(?:[-_.]?daemon)?|mailbot|bounce"
+AUTHOR_CONTEXT = "author|corresponding\\s+author|автор|корресп(?:онденц)?и?рующ"
+ROLE_CONTEXT = "кафедр|редакц|при[её]мн|отдел|служб|департамент|department|office|support|centre|center|комитет|институт|faculty|факультет|press"
+NAME_SHAPE = "^[a-zа-яё]+(?:[._-][a-zа-яё]+){0,2}(?:[._-][a-zа-яё]{1,3})?$"
 HARD_PHRASES = ["user not found", "invalid mailbox", "no such user", "unknown user", "non-local recipient verification failed", "recipient address rejected", "user is terminated", "mailbox unavailable", "mailbox disabled"]
 SOFT_PHRASES = ["temporary", "try again later", "greylist", "graylist", "timed out", "timeout", "rate limit", "too many connections", "temporarily deferred", "temporarily unavailable"]
 OUTCOMES = ["sent", "blocked", "cooldown", "undeliverable", "error", "unchanged"]

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Digits and superscript digits.
+DIGIT = "[0-9⁰¹²³⁴⁵⁶⁷⁸⁹]"
+
+
 def first_original(df: DataFrame, key: Column, pos: str = "pos", email: str = "email") -> DataFrame:
     """The first original of each key.  An aggregate, so a hot key is combined before the shuffle."""
     return df.groupBy(key.alias("key")).agg(F.min(F.struct(F.col(pos), F.col(email))).alias("f")).select("key", F.col(f"f.{email}").alias(email), F.col(f"f.{pos}").alias(pos))
@@ -26,14 +30,16 @@ def across_sources(df: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
 def merge_footnotes(hits: DataFrame, radius: int = 1) -> DataFrame:
     """Without hits that are another one less its first digit, near it in the same document.
 
-    hits: base, page, local, domain, and pre, what stands before the hit.
+    hits: base, page, local, domain, and pre, what stands before the hit.  The
+    last visible character before either of the two must be a digit or a
+    superscript, too.
     """
-    longer = hits.filter(F.regexp_like("local", F.lit("^[0-9¹²³].+"))).select(
-        "base", "domain", F.col("page").alias("long_page"), F.expr("substring(local, 2)").alias("local"), F.substring("local", 1, 1).alias("digit")
+    mark = lambda pre: F.coalesce(F.regexp_like(pre, F.lit(f"{DIGIT}\\s*$")), F.lit(False))
+    longer = hits.filter(F.regexp_like("local", F.lit(f"^{DIGIT}.+"))).select(
+        "base", "domain", F.col("page").alias("long_page"), F.expr("substring(local, 2)").alias("local"), mark(F.col("pre")).alias("marked")
     )
-    d = F.translate("digit", "¹²³", "123")
     near = [hits["base"] == longer["base"], hits["domain"] == longer["domain"], hits["local"] == longer["local"], F.abs(hits["page"] - longer["long_page"]) <= radius]
-    return hits.join(longer.withColumn("digit", d), [*near, F.translate(hits["pre"], "¹²³", "123").endswith(F.col("digit"))], "left_anti")
+    return hits.join(longer, [*near, longer["marked"] | mark(hits["pre"])], "left_anti")
 
 
 def repair_singletons(hits: DataFrame) -> DataFrame:

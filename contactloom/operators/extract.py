@@ -20,6 +20,15 @@ def addresses(c: Column) -> Column:
     return F.when(c.contains("@"), F.regexp_extract_all(c, F.lit(ADDRESS), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def places(c: Column) -> Column:
+    """Array of the 1-based places of a text's addresses, as `addresses` gives them."""
+    found = addresses(c)
+    between = F.transform(F.split(c, ADDRESS), F.length)
+    # what stands before hit i: the parts up to it, and the hits before it
+    before = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(found, lambda x, i: before(i) + 1)
+
+
 def hits(df: DataFrame, text: str = "text", clean=None) -> DataFrame:
     """(…, pos, email) of each address, positions from 0, lower case."""
     c = F.col(text) if clean is None else clean(F.col(text))

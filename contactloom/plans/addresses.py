@@ -174,22 +174,30 @@ def address_predicates(spark, d):
     )
 
 
-_ROLE_SQL = f"""CASE WHEN {sql_any("l", ["noreply", "no-reply", "donotreply", "do-not-reply"])} OR list_has_any(regexp_split_to_array(l, '[._+-]'), [{sql_in(V.ROLE_WORDS)}]) THEN 0.0
-  ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN regexp_full_match(l, '([a-z]{{3,}}[._-][a-z]{{3,}}|[a-z]\\.[a-z]{{3,}}|[a-z]{{3,}}\\.[a-z])') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END
-   + CASE WHEN contains(ctx, 'author') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN contains(ctx, 'department') OR contains(ctx, 'office') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)), 3) END"""
-_ROLE_IN = "x AS (SELECT pos, regexp_replace(lower(split_part(email, '@', 1)), '[0-9]+$', '') AS l, CASE pos % 3 WHEN 0 THEN 'corresponding author' WHEN 1 THEN 'department of physics' ELSE '' END AS ctx FROM r)"
-
-
-@query(f"WITH {R}, {_ROLE_IN}, s AS (SELECT pos, CAST({_ROLE_SQL} AS DOUBLE) AS score FROM x) SELECT pos, score AS role_score, CASE WHEN score <= 0.35 THEN 'role' WHEN score >= 0.65 THEN 'personal' ELSE 'unknown' END AS role_class FROM s")
+_WORDS_SQL = sql_in((*V.ROLE_WORDS, *V.ROLE_FRAGMENTS))
+#: Local parts of many kinds, domains and contexts by number, in both languages.
+_ROLE_LOCAL = "CASE pos % 11 WHEN 0 THEN 'Otdel.kadrov' WHEN 1 THEN 'no_reply' WHEN 2 THEN 'labor-1' WHEN 3 THEN 'a.it.b' WHEN 4 THEN 'editors' WHEN 5 THEN 'кафедра7' ELSE split_part(email, '@', 1) END"
+_ROLE_DOMAIN = "CASE pos % 4 WHEN 0 THEN 'mail.univ.ru' ELSE 'example.org' END"
+_ROLE_CTX = "CASE pos % 5 WHEN 0 THEN 'Corresponding  author' WHEN 1 THEN 'Department of physics' WHEN 2 THEN 'автор, кафедра' WHEN 3 THEN 'Приёмная комиссия' ELSE '' END"
+_ROLE_IN = f"""x AS (SELECT pos, lower(trim({_ROLE_LOCAL})) AS l, {_ROLE_DOMAIN} AS dom, lower({_ROLE_CTX}) AS ctx FROM r),
+    f AS (SELECT pos, regexp_full_match(l, '{V.ROLE_LOCAL}') AS w, regexp_matches(l, '(^|[^A-Za-zА-Яа-яЁё0-9])({"|".join(V.ROLE_FRAGMENTS)})($|[^A-Za-zА-Яа-яЁё])') AS p,
+      list_has_any(regexp_split_to_array(l, '[._+-]'), [{_WORDS_SQL}]) AS t, list_has_any(regexp_split_to_array(dom, '[._+-]'), [{_WORDS_SQL}]) AS d,
+      regexp_matches(l, '{V.NAME_SHAPE}') AS n, regexp_matches(ctx, '{V.AUTHOR_CONTEXT}') AS a, regexp_matches(ctx, '{V.ROLE_CONTEXT}') AS c FROM x),
+    s AS (SELECT pos, CASE WHEN w OR p OR t THEN 0.0::DOUBLE ELSE round(0.5::DOUBLE - if(d, 0.15, 0)::DOUBLE + if(n, 0.25, 0)::DOUBLE + if(a, 0.15, 0)::DOUBLE - if(c, 0.2, 0)::DOUBLE, 3) END AS score,
+      CASE WHEN w THEN 'role-local' WHEN p THEN 'role-fragment' WHEN t THEN 'role-local' WHEN NOT (d OR n OR a OR c) THEN 'baseline'
+        ELSE concat_ws(',', if(d, 'role-domain', NULL), if(n, 'fio-like', NULL), if(a, 'author-context', NULL), if(c, 'dept-context', NULL)) END AS reason FROM f)"""
+_ROLE_CLASS = "CASE WHEN score <= 0.35 THEN 'role' WHEN score >= 0.65 THEN 'personal' ELSE 'unknown' END"
+
+
+@query(f"WITH {R}, {_ROLE_IN} SELECT pos, score AS role_score, {_ROLE_CLASS} AS role_class, reason AS role_reason FROM s")
 def role_score(spark, d):
     """V9, V10, D15."""
-    x = recipients(spark, d).select("pos", F.regexp_replace(F.lower(T.local_part(F.col("email"))), "[0-9]+$", "").alias("l"), F.expr("CASE pos % 3 WHEN 0 THEN 'corresponding author' WHEN 1 THEN 'department of physics' ELSE '' END").alias("ctx"))
-    return x.select("pos", RU.role_score(F.col("l"), F.lit("example.ru"), F.col("ctx")).alias("r")).select("pos", "r.role_score", "r.role_class")
+    x = recipients(spark, d).select("pos", F.expr(_ROLE_LOCAL).alias("l"), F.expr(_ROLE_DOMAIN).alias("dom"), F.expr(_ROLE_CTX).alias("ctx"))
+    return x.select("pos", RU.role_score(F.col("l"), F.col("dom"), F.col("ctx")).alias("r")).select("pos", "r.role_score", "r.role_class", "r.role_reason")
 
 
 @query(
-    f"""WITH {R}, {_ROLE_IN}, s AS (SELECT pos % 10 AS k, CAST({_ROLE_SQL} AS DOUBLE) AS score FROM x),
-    c AS (SELECT k, score, CASE WHEN score <= 0.35 THEN 'role' WHEN score >= 0.65 THEN 'personal' ELSE 'unknown' END AS cls FROM s)
+    f"""WITH {R}, {_ROLE_IN}, c AS (SELECT pos % 10 AS k, score, {_ROLE_CLASS} AS cls FROM s)
     SELECT k, CASE WHEN bool_or(cls = 'role') THEN 'role' ELSE arg_max(cls, score) END AS cls, CASE WHEN bool_or(cls = 'role') THEN min(score) FILTER (cls = 'role') ELSE max(score) END AS score FROM c GROUP BY k"""
 )
 def role_statistics(spark, d):

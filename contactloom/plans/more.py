@@ -54,9 +54,9 @@ def context_window(spark, d):
     return t.select("pos", T.context(F.col("t"), F.expr("instr(t, email)"), F.length("email")).alias("ctx"))
 
 
-@query(f"WITH {R} SELECT c_nationkey, count(*) FILTER ({DOMAIN} NOT LIKE '%.ru') AS n, array_to_string((list_sort(list_distinct(list(lower(email)) FILTER ({DOMAIN} NOT LIKE '%.ru'))))[1:3], ' ') AS samples FROM r GROUP BY 1")
+@query(f"WITH {R} SELECT c_nationkey, count(*) FILTER ({DOMAIN} NOT LIKE '%.ru') AS n, coalesce(array_to_string((list_sort(list_distinct(list(lower(email)) FILTER ({DOMAIN} NOT LIKE '%.ru'))))[1:3], ' '), '') AS samples FROM r GROUP BY 1")
 def tld_filter_samples(spark, d):
-    """Refused endings of each group, counted, with three samples."""
+    """Refused endings of each group, counted, with three samples; no text where nothing is refused."""
     other = ~T.domain_part(F.col("email")).endswith(".ru")
     r = recipients(spark, d).withColumn("low", F.when(other, F.lower("email")))
     return r.groupBy("c_nationkey").agg(F.count("low").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("low")), 1, 3), " ").alias("samples"))

@@ -27,9 +27,10 @@ def classify_hits(hits: DataFrame, key: str, mx: DataFrame | None = None) -> Dat
         h = h.join(mx.select("domain", "has_mx"), "domain", "left")
     else:
         h = h.withColumn("has_mx", F.lit(None).cast("boolean"))
-    snippet = T.context(F.col("text"), F.instr(F.lower("text"), "@"), F.length("email"), 180)
-    role = RU.role_score(T.local_part(F.col("final")), F.col("domain"), snippet)
-    h = h.withColumns({"role": role, "key": K.gmail_key(F.col("final"))})
+    # each hit is judged by what stands around itself
+    snippet = T.context(F.col("text"), F.get(X.places(F.col("text")), F.col("pos")), F.length("email"), 180)
+    h = h.withColumns({"snippet": snippet, "local": T.local_part(F.col("final"))})
+    h = h.withColumns({"role": RU.role_score(F.col("local"), F.col("domain"), F.col("snippet")), "key": K.gmail_key(F.col("final"))})
     shape = RU.strict_reason(F.col("final"))
     why = lambda at, reason: F.struct(F.lit(at).alias("stage"), reason.alias("reason"))
     stage = (

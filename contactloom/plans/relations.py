@@ -59,19 +59,21 @@ def ingest_statistics(spark, d):
     return keyed(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_distinct("key").alias("n_unique"), (F.count(F.lit(1)) - F.count_distinct("key")).alias("duplicates"), F.count_distinct("source").alias("sources"))
 
 
-_FOOT = """SELECT concat('doc', l_orderkey % 50) AS base, CAST(l_linenumber AS BIGINT) AS page, concat(CASE WHEN l_partkey % 3 = 0 THEN '1' ELSE '' END, 'user', l_suppkey % 7) AS local, 'mail.ru' AS domain, CASE WHEN l_partkey % 2 = 0 THEN '¹' ELSE '1' END AS pre FROM lineitem"""
+_PRE = "CASE l_partkey % 5 WHEN 0 THEN '¹' WHEN 1 THEN '1' WHEN 2 THEN '7 ' WHEN 3 THEN 'see' ELSE '' END"
+_FOOT = f"""SELECT concat('doc', l_orderkey % 50) AS base, CAST(l_linenumber AS BIGINT) AS page, concat(CASE WHEN l_partkey % 3 = 0 THEN '1' ELSE '' END, 'user', l_suppkey % 7) AS local, 'mail.ru' AS domain, {_PRE} AS pre FROM lineitem"""
 
 
 def _foot(spark, d):
     li = table(spark, d, "lineitem")
     return li.select(
-        F.expr("concat('doc', l_orderkey % 50)").alias("base"), F.col("l_linenumber").cast("long").alias("page"), F.expr("concat(CASE WHEN l_partkey % 3 = 0 THEN '1' ELSE '' END, 'user', l_suppkey % 7)").alias("local"), F.lit("mail.ru").alias("domain"), F.expr("CASE WHEN l_partkey % 2 = 0 THEN '¹' ELSE '1' END").alias("pre")
+        F.expr("concat('doc', l_orderkey % 50)").alias("base"), F.col("l_linenumber").cast("long").alias("page"), F.expr("concat(CASE WHEN l_partkey % 3 = 0 THEN '1' ELSE '' END, 'user', l_suppkey % 7)").alias("local"), F.lit("mail.ru").alias("domain"), F.expr(_PRE).alias("pre")
     ).distinct()
 
 
 @query(
-    f"""WITH h AS (SELECT DISTINCT * FROM ({_FOOT})), g AS (SELECT * FROM h WHERE regexp_matches(local, '^[0-9¹²³].+'))
-    SELECT base, page, local, pre FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.base = h.base AND g.domain = h.domain AND substr(g.local, 2) = h.local AND abs(g.page - h.page) <= 1 AND translate(h.pre, '¹²³', '123') LIKE '%' || translate(substr(g.local, 1, 1), '¹²³', '123'))"""
+    f"""WITH h AS (SELECT DISTINCT *, right(rtrim(pre), 1) IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '⁰', '¹', '²', '³', '⁴', '⁵', '⁶', '⁷', '⁸', '⁹') AS m FROM ({_FOOT}))
+    SELECT base, page, local, pre FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.base = h.base AND g.domain = h.domain AND length(g.local) > 1 AND left(g.local, 1) BETWEEN '0' AND '9'
+      AND substr(g.local, 2) = h.local AND abs(g.page - h.page) <= 1 AND (g.m OR h.m))"""
 )
 def footnote_merge(spark, d):
     """Equi and range anti join."""

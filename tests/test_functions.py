@@ -78,6 +78,16 @@ def test_roles_and_names(spark):
     df = spark.createDataFrame([("no-reply", ""), ("ivan.petrov", "corresponding author"), ("x1", "")], "l string, ctx string")
     got = [r.r for r in df.select(RU.role_score(F.col("l"), F.lit("a.ru"), F.col("ctx")).alias("r")).collect()]
     assert [(r.role_class, r.role_score) for r in got] == [("role", 0.0), ("personal", 0.9), ("unknown", 0.5)]
+    # literal results, so that lists and order can't drift
+    cases = [
+        ("no-reply", "example.com", "", "role", 0.0, "role-local"), ("ivan.ivanov", "university.ru", "Corresponding author", "personal", 0.9, "fio-like,author-context"),
+        ("Otdel-7", "a.ru", "", "role", 0.0, "role-fragment"), ("kontakt", "a.ru", "", "role", 0.0, "role-local"), ("info2", "mail.ru", "", "role", 0.35, "role-domain"),
+        ("labor", "a.ru", "кафедра", "unknown", 0.55, "fio-like,dept-context"), ("a@b", "a.ru", "", "unknown", 0.5, "invalid-local"), ("7x", "a.ru", "", "unknown", 0.5, "baseline"),
+        ("it5", "a.ru", "", "role", 0.0, "role-fragment"), ("5it", "a.ru", "office", "role", 0.3, "dept-context"), ("mailer_daemon", "a.ru", "", "role", 0.0, "role-local"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "l string, d string, ctx string")
+    got = [r.r for r in df.select(RU.role_score(F.col("l"), F.col("d"), F.col("ctx")).alias("r")).collect()]
+    assert [(r.role_class, r.role_score, r.role_reason) for r in got] == [c[3:] for c in cases]
     score = spark.range(1).select(RU.name_score(F.lit("i.ivanov"), F.lit("Ivan"), F.lit("Ivanov")).alias("a"), RU.name_score(F.lit("service"), F.lit("Ivan"), F.lit("Ivanov")).alias("b")).first()
     assert score.a >= 0.9 and score.b == 0.0
 
@@ -97,6 +107,16 @@ def test_extraction(spark):
     assert {("a+b@x.ru", "mailto"), ("contact@site.com", "ldjson")} <= got
 
 
+def test_hits_are_judged_by_their_own_surroundings(spark):
+    from contactloom.plans.pipelines import classify_hits
+
+    text = "Corresponding author: ab7@univ.edu " + "and so on " * 40 + " Department of physics: cd8@univ.edu"
+    docs = spark.createDataFrame([(1, text), (2, "é@ x1@a.org,x1@a.org")], "doc int, text string")
+    got = {(r.doc, r.pos): (r.role_score, text[r.at - 1 :].startswith(r.email)) for r in classify_hits(X.hits(docs), "doc").join(docs.select(F.col("doc"), F.posexplode(X.places(F.col("text"))).alias("pos", "at")), ["doc", "pos"]).collect()}
+    assert got[1, 0] == (0.65, True) and got[1, 1] == (0.3, True)
+    assert [r.p for r in docs.filter("doc = 2").select(F.explode(X.places(F.col("text"))).alias("p")).collect()] == [4, 13]
+
+
 def foot(spark, rows):
     return spark.createDataFrame(rows, "base string, page long, domain string, pre string, local string")
 
@@ -106,6 +126,9 @@ def test_footnotes(spark):
     assert [r.local for r in D.merge_footnotes(pair).collect()] == ["959536_v"]
     kept = foot(spark, [("d", 1, "mail.ru", "1", "1abc"), ("d", 1, "mail.ru", "", "xabc")])
     assert D.merge_footnotes(kept).count() == 2
+    # a digit or superscript before either hit will do, whichever it is; far pages and other domains won't
+    for long_pre, short_pre, page, n in (("5 ", "", 2, 1), ("", "⁷", 1, 1), ("x", "", 1, 2), ("1", "", 4, 2)):
+        assert D.merge_footnotes(foot(spark, [("d", 1, "mail.ru", long_pre, "2abc"), ("d", page, "mail.ru", short_pre, "abc")])).count() == n
     single = foot(spark, [("d", 1, "yandex.ru", "¹", "1dergal"), ("d", 2, "yandex.ru", "1", "1alex")])
     assert sorted((r.local, r.repaired) for r in D.repair_singletons(single).collect()) == [("1alex", False), ("dergal", True)]
 
