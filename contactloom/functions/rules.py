@@ -168,8 +168,20 @@ def has_service_prefix(c: Column) -> Column:
 
 
 def is_left_boundary(ch: Column) -> Column:
-    """Blanks and punctuation."""
-    return F.regexp_like(ch, F.lit("^[\\p{Z}\\p{P}\\p{Cc}]$")) | (ch == "")
+    """Blanks, punctuation and bullets, but not what holds parts of an address together; nothing is one, too."""
+    return F.coalesce(ch == "", F.lit(True)) | (F.regexp_like(ch, F.lit("^[\\p{Z}\\p{P}•·⋅◦]$")) & ~F.regexp_like(ch, F.lit("^[._%+\\-'~=/]$")))
+
+
+def has_prefix_row(text: Column) -> Column:
+    """A document numbers its addresses: three marked ones at least, or two marks that occur twice each.
+
+    A mark is the first character of a local part that has a boundary on its left.
+    """
+    shape = F.lit("(.)([A-Za-z0-9])([A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]+)@")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, shape, F.lit(1)).alias("left"), F.regexp_extract_all(text, shape, F.lit(2)).alias("mark"))
+    marks = F.transform(F.filter(pairs, lambda p: is_left_boundary(p["left"])), lambda p: p["mark"])
+    again = F.filter(F.array_distinct(marks), lambda m: F.size(F.filter(marks, lambda x: x == m)) >= 2)
+    return F.coalesce((F.size(marks) >= 3) | (F.size(again) >= 2), F.lit(False))
 
 
 def candidate_score(domain: Column) -> Column:

@@ -13,8 +13,6 @@ from pyspark.sql.types import StringType
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _NOTE = re.compile(r"[⁰¹²³⁴-⁹]+|\((?:[a-c]|[1-3])\)(?=\s|$|[.,;])")
 _SPACED = re.compile(r"(?<![A-Za-z0-9])((?:[A-Za-z0-9] ){3,}[A-Za-z0-9])(?![A-Za-z0-9])")
-#: Characters that are looked at, and the length of the pieces in which they are.
-MAX_CHARS, PIECE, OVERLAP = 2_000_000, 200_000, 64
 
 
 @F.pandas_udf(StringType())
@@ -70,9 +68,7 @@ def remove_footnotes(s: pd.Series) -> pd.Series:
 
 
 def collapse_spaced(text: str) -> str:
-    """Letters set apart by single blanks, to a fixed point, in bounded pieces."""
-    if len(text) > MAX_CHARS:
-        return text
+    """Letters set apart by single blanks, to a fixed point, whatever the length."""
     while True:
         new = _SPACED.sub(lambda m: m[1].replace(" ", ""), text)
         if new == text:
@@ -98,7 +94,8 @@ def parse_mail_date(s: str | None):
 
 
 def preprocess(c):
-    """Footnotes, compatibility form, marks, broken lines, glued addresses."""
+    """Footnotes, de-obfuscation before and after the compatibility form and marks, broken lines, glued addresses."""
     from contactloom.functions import text as T
 
-    return T.separate_addresses(T.join_fragments(T.join_hyphen_breaks(T.deobfuscate(T.normalize_marks(nfkc(remove_footnotes(c)))))))
+    shown = T.deobfuscate(T.normalize_marks(nfkc(T.deobfuscate(remove_footnotes(c)))))
+    return T.separate_addresses(T.join_fragments(T.join_hyphen_breaks(shown)))

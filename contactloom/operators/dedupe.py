@@ -53,6 +53,21 @@ def repair_singletons(hits: DataFrame) -> DataFrame:
     return j.filter("there is null").select("base", "page", "domain", "pre", F.coalesce("cut", "local").alias("local"), F.col("cut").isNotNull().alias("repaired"))
 
 
+def postprocess(hits: DataFrame, radius: int = 1) -> DataFrame:
+    """Hits less footnote variants (D6), repaired (D7), once for each key (D3), with known endings (V17) and no locals of one or two digits.
+
+    hits: base, page, local, domain, pre.  The first of a key is that of the
+    least base, page, local and pre.
+    """
+    from contactloom.functions.keys import gmail_key
+    from contactloom.functions.rules import is_valid_domain
+
+    h = repair_singletons(merge_footnotes(hits, radius))
+    h = h.withColumn("email", F.concat("local", F.lit("@"), "domain"))
+    first = h.groupBy(gmail_key(F.col("email")).alias("key")).agg(F.min(F.struct("base", "page", "local", "pre", "domain", "email", "repaired")).alias("f")).select("f.*")
+    return first.filter(is_valid_domain(F.col("domain")) & ~F.regexp_like("local", F.lit("^[0-9]{1,2}$")))
+
+
 def latest(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
     """The last row of each key; of equal times the later row."""
     rest = [c for c in df.columns if c not in keys]

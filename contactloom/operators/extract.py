@@ -103,13 +103,30 @@ def bundles(df: DataFrame, key: str, text: str = "html") -> DataFrame:
     return df.select(key, raw.alias("b64")).select(key, T.decode_base64(F.col("b64")).alias("email")).filter("email is not null")
 
 
+#: JSON in pages: linked data, and the state that frameworks leave for their scripts.
+JSON_BLOCKS = (
+    "(?is)<script[^>]+type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>",
+    "(?is)<script[^>]+id=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>",
+    "(?is)window\\.__NUXT__\\s*=\\s*(\\{.*?\\});",
+    "(?is)window\\.__INITIAL_STATE__\\s*=\\s*(\\{.*?\\});",
+)
+
+
+def json_strings(c: Column) -> Column:
+    """The string values of a JSON text at every depth, in order, escapes read; keys aren't values, and what isn't JSON has none."""
+    tokens = F.regexp_extract_all(F.when(F.try_parse_json(c).isNotNull(), c), F.lit('"(?:[^"\\\\]|\\\\.)*+"\\s*+:?'), F.lit(0))
+    values = F.filter(tokens, lambda x: ~x.endswith(":"))
+    return F.transform(values, lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)))
+
+
 def embedded_json(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Addresses in LD-JSON and framework state, plain or base64, by their strings."""
-    block = F.explode(
-        F.regexp_extract_all(F.col(html), F.lit("(?is)<script[^>]*(?:application/ld\\+json|__NEXT_DATA__|__NUXT__|__INITIAL_STATE__)[^>]*>(.*?)</script>"), F.lit(1))
-    )
-    s = df.select(key, block.alias("json")).select(key, F.explode(F.regexp_extract_all("json", F.lit("\"([^\"\\\\]{3,400})\""), F.lit(1))).alias("s"))
-    return s.select(key, F.explode(addresses(F.coalesce(T.decode_base64(F.col("s")), F.col("s")))).alias("email")).select(key, F.lower("email").alias("email")).distinct()
+    """Addresses in the strings of LD-JSON and framework state: as they are, de-obfuscated, or in base64."""
+    blocks = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in JSON_BLOCKS])
+    s = df.select(key, F.explode(blocks).alias("json")).select(key, F.explode(json_strings(F.col("json"))).alias("s"))
+    s = s.withColumns({"plain": T.preclean(F.col("s")), "decoded": T.decode_base64(F.col("s"))})
+    none = F.array().cast("array<string>")
+    found = F.concat(addresses(F.col("plain")), addresses(T.deobfuscate(F.col("plain"))), F.coalesce(addresses(F.col("decoded")), none))
+    return s.select(key, F.explode(found).alias("email")).select(key, F.lower("email").alias("email")).distinct()
 
 
 def page_hits(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -119,7 +119,7 @@ def unicode_preprocess(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha1(preprocess(F.col("text"))).alias("sha"))
 
 
-@query()
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'xn--e1alid.xn--p1ai' WHEN 1 THEN 'xn--strae-oqa.de' ELSE 'mail.ru' END AS idna2008, CASE c_custkey % 3 WHEN 0 THEN 'xn--e1alid.xn--p1ai' WHEN 1 THEN 'strasse.de' ELSE 'mail.ru' END AS idna2003 FROM customer")
 def idna_keys(spark, d):
     """Domains in ASCII by both rules."""
     from contactloom.functions.unicode import idna2003, idna2008
@@ -128,7 +128,10 @@ def idna_keys(spark, d):
     return table(spark, d, "customer").select("c_custkey", idna2008(dom).alias("idna2008"), idna2003(dom).alias("idna2003"))
 
 
-@query()
+@query(
+    """SELECT concat(page_id, '.zip') AS path, 'page.html' AS member, 'html' AS kind, CAST(length(coalesce(html, '')) AS INTEGER) AS n_chars, NULL AS error FROM pages
+    UNION ALL SELECT concat(page_id, '.zip'), 'run.exe', 'zip', NULL, 'denied_suffix' FROM pages"""
+)
 def archive_units(spark, d):
     """Text units of archives that hold each page's text."""
     import io

@@ -92,10 +92,17 @@ def xlsx_cells(data: bytes) -> list[tuple[str, str]]:
         if "xl/sharedStrings.xml" in names:
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in si.iter() if _local(t.tag) == "t"))
-        titles = {}
+        titles, target = {}, {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                path = e.get("Target", "")
+                target[e.get("Id")] = path[1:] if path.startswith("/") else f"xl/{path}"
         if "xl/workbook.xml" in names:
             sheets = [e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
-            titles = {f"xl/worksheets/sheet{i + 1}.xml": e.get("name", f"sheet{i + 1}") for i, e in enumerate(sheets)}
+            for i, e in enumerate(sheets):
+                # a sheet's file is named by its relation; without relations they are taken in order
+                rel = next((v for k, v in e.attrib.items() if _local(k) == "id" and k != "id"), None)
+                titles[target.get(rel, f"xl/worksheets/sheet{i + 1}.xml")] = e.get("name", f"sheet{i + 1}")
         out = []
         for n in sorted(x for x in names if x.startswith("xl/worksheets/") and x.endswith(".xml")):
             for c in ElementTree.fromstring(z.read(n)).iter():
@@ -124,7 +131,7 @@ def pptx_text(data: bytes) -> list[str]:
 def rtf_text(data: bytes) -> str:
     raw = data.decode("latin-1")
     raw = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1251", "replace"), raw)
-    return re.sub(r"\\[a-zA-Z]+-?\d* ?|[{}]", "", raw.replace("\\par", "\n"))
+    return re.sub(r"\\[a-zA-Z]+-?\d* ?|[{}]", "", re.sub(r"\\par(?![a-z]) ?", "\n", raw))
 
 
 def units(path: str, data: bytes, member: str = "", depth: int = 0):

@@ -69,8 +69,9 @@ def reserve(df: DataFrame, days: int, key: str = "key", ts: str = "ts", late: st
 def upsert_latest(df: DataFrame, path: str, checkpoint: str, key: str, ts: str):
     """H5, H6: a table with the latest time of each key; time never goes back.
 
-    Each batch writes a new version beside the old one and then its name, so a
-    batch that is run again gives the same table.
+    Each batch writes the version of its number from the one before, so a batch
+    that is run again gives the same table; the last version is the table.  It
+    starts on an empty path: a new checkpoint needs a new path, too.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:

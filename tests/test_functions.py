@@ -228,3 +228,30 @@ def test_streams(spark, tmp_path):
     due = spark.createDataFrame([("a", "soft", 1, 3), ("b", "soft", 3, 3)], "email string, status string, retry_count int, max_retries int")
     due = due.withColumns({"ts": F.lit("2024-01-01").cast("timestamp"), "next_retry_at": F.lit("2024-01-02").cast("timestamp")})
     assert [r.email for r in S.due_retries(due, "2024-01-03").collect()] == ["a"]
+
+
+def test_json_strings_at_every_depth(spark):
+    cases = {'{"a@k.com":["x@y.ru",{"b":"q\\"uo\\\\te \\u0061","c":[1,null,"last"]}],"":""}': ["x@y.ru", 'q"uo\\te a', "last", ""], '"one"': ["one"], '{"a":': None, "": None, "[1, 2]": []}
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    assert {r.j: r.s for r in df.select("j", X.json_strings(F.col("j")).alias("s")).collect()} == cases
+
+
+def test_prefix_rows(spark):
+    df = spark.createDataFrame([("(aivan@x.ru (bpetr@x.ru (canna@x.ru", True), ("(aivan@x.ru (apetr@x.ru", False), ("(a1@x (a2@x (b1@x", True), ("", False), (None, False)], "t string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", RU.has_prefix_row(F.col("t")).alias("got")).collect())
+
+
+def test_spaced_letters_of_long_texts():
+    from contactloom.functions import unicode as U
+
+    assert U.collapse_spaced("i v a n x " * 300_000).startswith("ivanxivanx") or len(U.collapse_spaced("z " * 2_100_000)) < 2_200_000
+
+
+def test_sliding_counts_of_one_key(spark):
+    from contactloom.operators import windows as W
+
+    t0 = dt.datetime(2024, 1, 1)
+    at = [0, 1, 59, 60, 61, 119, 120, 180, 180, 7200]
+    df = spark.createDataFrame([("k", i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate(at)], "k string, i int, ts timestamp")
+    got = {r.i: r.n_recent for r in W.sliding_count(df, "k", "ts", 60).collect()}
+    assert got == {i: sum(s - 59 <= x <= s for x in at) for i, s in enumerate(at)}
