@@ -10,7 +10,8 @@ the text is.  Spark sorts (rank, position) at growing lengths:
 2. For the others, the pair of that rank and the rank of the run of 100-byte
    strings around it.  All but the first of an equal run are repeats, whole.
    A run that is the only one of its pair of ranks needs no further round,
-   unless other runs share its first rank.
+   unless other runs share its first rank.  Where a batch has more than two runs
+   of one rank, it isn't unique: the others go to the threshold at once.
 3. Those last ones at the threshold: every 100-byte string as the pair of the
    ranks at offsets 0 and 50.  All but the first of equal ones are repeats.
 
@@ -103,9 +104,16 @@ def _rank_half(length: int, n: int, chunk: int):
                 again = np.zeros(len(k), dtype=bool)
                 again[1:] = k[1:] == k[:-1]
                 rest = np.sort(order[again])
-                keep = np.sort(order[~again])
+                keep = order[~again]
+                # of one rank a batch sends two runs at most, enough to show that it isn't unique; what more there are
+                # go on to the threshold from here, so that a frequent rank meets in one task only batch by batch
+                keep = keep[np.argsort(rank[keep], kind="stable")]
+                third = np.zeros(len(keep), dtype=bool)
+                third[2:] = rank[keep][2:] == rank[keep][:-2]
+                more, keep = np.sort(keep[third]), np.sort(keep[~third])
                 B.deal(B.bucket_of(rank[keep], n), 0, RUN, (rank[keep], run_rank[keep], doc[keep], start[keep], number[keep]), rows)
                 B.deal(B.doc_bucket(doc[rest], n), 1, FOUND, (doc[rest], start[rest], number[rest], np.zeros(len(rest), np.uint8)), rows)
+                B.deal(B.doc_bucket(doc[more], n), 1, FOUND, (doc[more], start[more], number[more], np.ones(len(more), np.uint8)), rows)
             yield B.blob_batch(rows)
 
     return run

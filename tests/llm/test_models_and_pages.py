@@ -395,3 +395,66 @@ def test_ties_of_paths_are_settled_alike(spark):
     for data in (rows, rows[::-1]):
         got = main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
         assert {r.path for r in got} == {">div.bb"} and {r.text for r in got} == {"text of a page here"}
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+def held_out_quality(spark, name, column):
+    """(share of the bad that is refused, share of the good that is kept) of labelled rows, and the rows."""
+    from contactloom.llm.queries import QUERIES
+
+    rows = QUERIES[name](spark, TABLES).join(spark.read.parquet(f"{TABLES}/labels.parquet"), "doc_id").collect()
+    bad, good = ([r[column] for r in rows if r.quality == q] for q in (0, 1))
+    return 1 - sum(bad) / len(bad), sum(good) / len(good)
+
+
+def test_op1_counts_against_sql_and_labels(spark):
+    """The five counts and the base test of every document as SQL gives them; good documents stay."""
+    import os
+
+    import duckdb
+
+    from contactloom.llm.queries import QUERIES
+
+    if not os.path.isdir(TABLES):
+        pytest.skip("no tables")
+    got = {r.doc_id: r for r in QUERIES["op1_quality_rules"](spark, TABLES).collect()}
+    q = duckdb.execute(
+        rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM '{TABLES}/documents.parquet')
+        SELECT doc_id, len(a), length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')), length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) FROM w"""
+    ).fetchall()
+    assert len(got) == len(q) and all((got[i].n_words, got[i].word_chars, got[i].n_symbols) == (a, b, c) for i, a, b, c in q)
+    texts = dict(duckdb.execute(f"SELECT doc_id, text FROM '{TABLES}/documents.parquet'").fetchall())
+    for i, r in got.items():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(texts[i])
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept == (not r.base_failed and r.rule is None)
+    refused, kept = held_out_quality(spark, "op1_quality_rules", "kept")
+    assert refused > 0.8 and kept > 0.95
+
+
+def test_op10_grades_labelled_documents(spark):
+    import os
+
+    from contactloom.llm.queries import QUERIES
+
+    if not os.path.isdir(TABLES):
+        pytest.skip("no tables")
+    rows = QUERIES["op10_quality_classifier"](spark, TABLES).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and all(0 <= r.p_best <= r.p_good <= 1 and abs(r.expected_grade - r.p_good - r.p_best) < 1e-9 for r in rows)
+    refused, kept = held_out_quality(spark, "op10_quality_classifier", "kept")
+    assert refused > 0.8 and kept > 0.95
+
+
+def test_op9_tells_held_out_documents(spark):
+    import os
+
+    from contactloom.llm.queries import QUERIES
+
+    if not os.path.isdir(TABLES):
+        pytest.skip("no tables")
+    rows = QUERIES["op9_toxicity"](spark, TABLES).join(spark.read.parquet(f"{TABLES}/labels.parquet").filter("toxic is not null"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out]
+    wrong = sum(r.predicted != r.toxic for r in held)
+    assert len(held) > 50 and wrong / len(held) < 0.12

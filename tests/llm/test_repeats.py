@@ -101,3 +101,13 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert repeated_words(df).count() == 0
     assert repeated_spans(df).count() == 0
+
+
+def test_a_frequent_rank_with_many_surroundings(spark):
+    """One line in every text, each time between other words: more runs of a rank than a batch sends."""
+    r = random.Random(3)
+    line = "this very line stands in all of the texts and it is longer than a hundred bytes, so that whole strings of it repeat everywhere"
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    rows = [(i, f"{word()} {word()} {line[: 90 + r.randint(0, 40)]} {word()} {line} {word()}", "", 0) for i in range(80)]
+    got = repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(3)).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got] == brute_bytes(rows, 100)
