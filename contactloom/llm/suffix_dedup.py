@@ -2,20 +2,22 @@
 
 Ranks are content fingerprints, so equal prefixes have equal ranks on every
 machine, and the rank of a pair (prefix, prefix at an offset) can be had where
-the text is.  Spark sorts (rank, position) at growing lengths:
+the text is.  Spark sorts (rank, position) at growing lengths, a quarter of the
+threshold at first, then twice as much in each round:
 
-1. length 50 at the positions that a minimum over every 100 bytes picks (any
+1. At each length, the positions that a minimum over every 100 bytes picks (any
    two equal 100-byte strings pick the same offset).  A position whose rank is
-   unique leaves.
+   unique leaves with all the strings that picked it.
 2. For the others, the pair of that rank and the rank of the run of 100-byte
    strings around it.  All but the first of an equal run are repeats, whole.
    A run that is the only one of its pair of ranks needs no further round,
    unless other runs share its first rank.  Where a batch has more than two runs
-   of one rank, it isn't unique: the others go to the threshold at once.
-3. Those last ones at the threshold: every 100-byte string as the pair of the
-   ranks at offsets 0 and 50.  All but the first of equal ones are repeats.
+   of one rank, it isn't unique: the others go to the next length at once.
+3. What is left goes to the next round, where only its strings pick again.  At
+   the threshold every 100-byte string is ranked, as the pair of the ranks of its
+   halves.  All but the first of equal ones are repeats.
 
-Every repeated string is found: the steps only leave out strings that are
+Every repeated string is found: the rounds only leave out strings that are
 known to be unique or already decided.
 """
 
@@ -36,6 +38,8 @@ RUN = ("h6", "<u8", "doc", "pos", "<u1")
 FOUND = ("doc", "pos", "<u1", "<u1")
 #: rank of a whole string in two parts, document, start
 WHOLE = ("<u8", "<u4", "doc", "pos")
+#: document, first start, number of starts that repeat
+DONE = ("doc", "pos", "<u1")
 
 
 def _minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,15 +57,16 @@ def _minima(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def _runs(data: np.ndarray, at: np.ndarray, length: int, poly: B.Poly):
-    """(rank, run's rank, row, first start, number) of the runs of a chunk."""
-    half = length // 2
+def _runs(data: np.ndarray, at: np.ndarray, length: int, part: int, poly: B.Poly, open_: np.ndarray | None):
+    """(rank at `part` bytes, run's rank, row, first start, number) of the runs of a chunk, of the open starts only."""
     sums = poly.sums(poly.table[data])
-    ranks = poly.windows(sums, half)
+    ranks = poly.windows(sums, part)
     if len(data) < length:
         return None
-    pick = _minima((ranks >> np.uint64(32)).astype(np.uint32), length - half + 1)
+    pick = _minima((ranks >> np.uint64(32)).astype(np.uint32), length - part + 1)
     starts = B.fits(at, length)  # strings that lie in one row
+    if open_ is not None:
+        starts = starts[open_[starts]]
     if not len(starts):
         return None
     p = pick[starts]
@@ -84,17 +89,50 @@ def _pieces(column: pa.Array, length: int, chunk: int):
             yield i, data, at, 0
 
 
-def _rank_half(length: int, n: int, chunk: int):
+def _open(items: list, i: int, at: np.ndarray, shift: int) -> np.ndarray:
+    """The open starts of a chunk whose first row is i, or of a slice of that row."""
+    edge = np.zeros(int(at[-1]) + 1, np.int32)
+    for r in range(len(at) - 1):
+        start, number, _ = items[i + r]
+        size = at[r + 1] - at[r]
+        np.add.at(edge, at[r] + np.clip(start - shift, 0, size), 1)
+        np.add.at(edge, at[r] + np.clip(start + number - shift, 0, size), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _split(blobs) -> tuple[list, list]:
+    """Of each row's runs those that are open, and those that are decided."""
+    every = [B.unpack(FOUND[1:], x.as_buffer()) for x in blobs]
+    wide = [(s, k.astype(np.int64), a == 1) for s, k, a in every]
+    return [(s[a], k[a], a[a]) for s, k, a in wide], [(s[~a], k[~a]) for s, k, a in wide]
+
+
+def _decided(rid: np.ndarray, done: list):
+    doc = np.concatenate([np.full(len(s), r) for r, (s, _) in zip(rid.tolist(), done, strict=True)])
+    return doc.astype(np.int64), *(np.concatenate(c) for c in zip(*done, strict=True))
+
+
+def _rank(length: int, part: int, first: bool, n: int, chunk: int):
+    """Ranks at `part` bytes of what is open (at first, all); what is decided is passed on."""
+
     def run(batches):
         poly = B.Poly(3)
         for batch in batches:
             rid = batch.column(0).to_numpy()
+            rows: list = []
+            items = None
+            if not first and len(rid):
+                items, done = _split(batch.column(3))
+                doc, start, number = _decided(rid, done)
+                B.deal(B.doc_bucket(doc, n), 1, FOUND, (doc, start, number, np.zeros(len(doc), np.uint8)), rows)
             got = []
-            for i, data, at, shift in _pieces(batch.column(1), length, chunk):
-                if (r := _runs(data, at, length, poly)) is not None:
+            for i, data, at, shift in _pieces(batch.column(1 if first else 2), length, chunk):
+                open_ = None if items is None else _open(items, i, at, shift)
+                if open_ is not None and not open_.any():
+                    continue
+                if (r := _runs(data, at, length, part, poly, open_)) is not None:
                     rank, run_rank, row, start, number = r
                     got.append((rank, run_rank, rid[row + i], start + shift, number))
-            rows: list = []
             if got:
                 rank, run_rank, doc, start, number = (np.concatenate(c) for c in zip(*got, strict=True))
                 rank &= ~np.uint64(0xFFFF)
@@ -170,10 +208,12 @@ def _rank_whole(length: int, n: int, chunk: int):
         for batch in batches:
             rid = batch.column(0).to_numpy()
             data, at = B.flat(batch.column(2))
-            got = []
-            for i, blob in enumerate(batch.column(3)):
-                start, number, alone = B.unpack(FOUND[1:], blob.as_buffer())
-                start, number = start[alone == 1], number[alone == 1].astype(np.int64)
+            got, rows = [], []
+            items, done = _split(batch.column(3))
+            if len(rid):
+                doc, start, number = _decided(rid, done)
+                B.deal(B.doc_bucket(doc, n), 1, DONE, (doc, start, number), rows)
+            for i, (start, number, _) in enumerate(items):
                 text = data[at[i] : at[i + 1]]
                 # of overlapping slices of a long text a run may be told twice
                 seen = np.unique(np.repeat(start, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
@@ -184,7 +224,6 @@ def _rank_whole(length: int, n: int, chunk: int):
                         rank = [(poly, sums, poly.slices(sums, p, p + half), poly.slices(sums, p + half, p + length)) for poly in (one, two) for sums in [poly.sums(poly.table[part])]]
                         h = [B.mix(a * np.uint64(0x9E3779B97F4A7C15) + b) for _, _, a, b in rank]
                         got.append((h[0], (h[1] >> np.uint64(32)).astype(np.uint32), np.full(len(own), rid[i]), own))
-            rows: list = []
             if got:
                 h, g, doc, start = (np.concatenate(c) for c in zip(*got, strict=True))
                 order = np.lexsort((start, doc, g, h))
@@ -192,14 +231,14 @@ def _rank_whole(length: int, n: int, chunk: int):
                 again[1:] = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
                 keep, rest = np.sort(order[~again]), np.sort(order[again])
                 B.deal(B.bucket_of(h[keep], n), 0, WHOLE, (h[keep], g[keep], doc[keep], start[keep]), rows)
-                B.deal(B.doc_bucket(doc[rest], n), 1, ("doc", "pos"), (doc[rest], start[rest]), rows)
+                B.deal(B.doc_bucket(doc[rest], n), 1, DONE, (doc[rest], start[rest], np.ones(len(rest), np.uint8)), rows)
             yield B.blob_batch(rows)
 
     return run
 
 
-def later_ones(kinds: tuple[str, ...], n: int):
-    """Of items with equal fingerprints all but the first (document, start), dealt by document."""
+def later_ones(kinds: tuple[str, ...], n: int, numbered: bool = False):
+    """Of items with equal fingerprints all but the first (document, start), dealt by document; if asked for, as runs of one."""
 
     def run(batches):
         blobs, rows = [], []
@@ -221,7 +260,8 @@ def later_ones(kinds: tuple[str, ...], n: int):
         again = np.zeros(len(h), dtype=bool)
         again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
         own = order[again]
-        B.deal(B.doc_bucket(doc[own], n), 1, ("doc", "pos"), (doc[own], start[own]), rows)
+        kept = (doc[own], start[own], np.ones(len(own), np.uint8))
+        B.deal(B.doc_bucket(doc[own], n), 1, DONE if numbered else DONE[:2], kept if numbered else kept[:2], rows)
         yield B.blob_batch(rows)
 
     return run
@@ -232,15 +272,12 @@ def _remove(length: int):
         for batch in batches:
             data, at = B.flat(batch.column(2))
             n_bytes, n_removed, n_spans, sha, spans, kept = [], [], [], [], [], []
-            for i, (runs, alone) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            for i, runs in enumerate(batch.column(3)):
                 text = data[at[i] : at[i + 1]]
                 first, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if runs.is_valid:
-                    s, k, a = B.unpack(FOUND[1:], runs.as_buffer())
-                    first, number = s[a == 0], k[a == 0].astype(np.int64)
-                if alone.is_valid:
-                    (s,) = B.unpack(("pos",), alone.as_buffer())
-                    first, number = np.concatenate((first, s)), np.concatenate((number, np.ones(len(s), np.int64)))
+                    first, number = B.unpack(DONE[1:], runs.as_buffer())
+                    number = number.astype(np.int64)
                 gone = _covered(first, number, length - 1, len(text)) if len(first) else np.zeros(len(text), dtype=bool)
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                 left = text[~gone].tobytes()
@@ -278,14 +315,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     n = B.partitions(spark)
     rows, _ = B.ordered_rows(docs, id_col, text_col)
-    half = rows.select("rid", "text").mapInArrow(_rank_half(length, n, chunk), B.BLOB)
-    found = B.exchange(half, n).mapInArrow(_rerank(n), B.BLOB)
-    runs = B.checkpoint(B.exchange(found, n).mapInArrow(B.by_doc(FOUND), B.BY_DOC))
-    # both joins take the same columns, so they read one exchange of the texts; the hash side holds positions only
-    open_ = rows.join(runs.filter("flag").select("rid", "items").hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "items")
-    whole = open_.mapInArrow(_rank_whole(length, n, chunk), B.BLOB)
-    later = B.exchange(whole, n).mapInArrow(later_ones(WHOLE, n), B.BLOB)
-    alone = B.exchange(later, n).mapInArrow(B.by_doc(("doc", "pos")), B.BY_DOC)
-    all_ = rows.join(runs.select("rid", F.col("items").alias("runs")).hint("shuffle_hash"), "rid", "left")
-    all_ = all_.join(alone.select("rid", F.col("items").alias("alone")).hint("shuffle_hash"), "rid", "left")
-    return all_.select("rid", "doc_id", "text", "runs", "alone").mapInArrow(_remove(length), REMOVED)
+    found, part = None, length // 4
+    while part < length:
+        # all joins take the same columns, so they read one exchange of the texts; the hash side holds positions only
+        source = rows.select("rid", "text") if found is None else _with_texts(rows, found)
+        ranked = source.mapInArrow(B.tidy(_rank(length, part, found is None, n, chunk)), B.BLOB)
+        found = B.exchange(B.exchange(ranked, n).mapInArrow(B.tidy(_rerank(n)), B.BLOB), n).mapInArrow(B.tidy(B.by_doc(FOUND)), B.BY_DOC)
+        part *= 2
+    whole = _with_texts(rows, found).mapInArrow(B.tidy(_rank_whole(length, n, chunk)), B.BLOB)
+    later = B.exchange(whole, n).mapInArrow(B.tidy(later_ones(WHOLE, n, True)), B.BLOB)
+    done = B.exchange(later, n).mapInArrow(B.tidy(B.by_doc(DONE)), B.BY_DOC)
+    return _with_texts(rows, done, "left").mapInArrow(B.tidy(_remove(length)), REMOVED)
+
+
+def _with_texts(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(found.select("rid", "items").hint("shuffle_hash"), "rid", how).select("rid", "doc_id", "text", "items")
