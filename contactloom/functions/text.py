@@ -96,6 +96,21 @@ def join_hyphen_breaks(c: Column) -> Column:
     return chain(c, ("([A-Za-z])[­-][ \t]*\r?\n[ \t]*([a-z])", "$1$2"))
 
 
+def one_line(c: Column) -> Column:
+    """Words broken by a hyphen joined, lines to blanks, no blanks round dots and after @, a blank before an address that is glued to a word or mark."""
+    word, address = "[\\p{L}\\p{N}_]", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+    return chain(
+        c,
+        (f"({word})-\\s*\n\\s*({word})", "$1$2"),
+        ("\\s*\n\\s*", " "),
+        (f"({word})[\u00ad\u200b-\u200d]\\s*({word})", "$1$2"),
+        ("([A-Za-z0-9])\\s*\\.\\s*([A-Za-z0-9])", "$1.$2"),
+        ("@\\s+([A-Za-z0-9])", "@$1"),
+        (f"([\\p{{L}}\\p{{N}})\\]»”'\":=])(?<![A-Za-z0-9._%+-])({address})", "$1 $2"),
+        ("[ \t]{2,}", " "),
+    )
+
+
 def clean_pdf_text(c: Column) -> Column:
     return chain(join_hyphen_breaks(c), ("­", ""), (SPACES, " "), ("\r\n?", "\n"), ("[ \t]+", " "))
 

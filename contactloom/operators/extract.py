@@ -50,6 +50,18 @@ def first_hits(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.groupBy(key, "email").agg(F.min("pos").alias("pos"))
 
 
+def with_ocr(docs: DataFrame, key: str, least: int) -> DataFrame:
+    """Q7: distinct addresses of documents' texts; where there are fewer than `least`, those of the recognised text, too.
+
+    docs: `key`, text and ocr_text (null where none was made).
+    """
+    plain = harvest(docs, key).select(key, "email")
+    n = docs.select(key).join(plain.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left")
+    few = docs.join(n.filter(F.coalesce("n", F.lit(0)) < least).select(key), key, "left_semi").filter("ocr_text is not null")
+    more = harvest(few.select(key, T.clean_pdf_text(F.col("ocr_text")).alias("text")), key)
+    return plain.unionByName(more.select(key, "email")).distinct()
+
+
 def manual(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """<address>, mailto:, bare; each address once, by branch and place."""
     t = F.col(text)

@@ -65,3 +65,14 @@ def worst_or_best(df: DataFrame, key: str, cls: str, score: str) -> DataFrame:
 def page_window(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """O4."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def origin_counts(hits: DataFrame, key: str, origins: list[str]) -> DataFrame:
+    """Hits of each key by origin, zero where there are none."""
+    return hits.groupBy(key).agg(*[F.count_if(F.col("origin") == o).alias(f"hits_{o}") for o in origins])
+
+
+def merge_member_stats(members: DataFrame, by: str, progress: tuple[str, ...] = ("files_total", "files_processed", "files_skipped_timeout", "last_file")) -> DataFrame:
+    """Statistics of an archive from those of its members: whole numbers are summed, but for those that tell of progress."""
+    whole = [f.name for f in members.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") and f.name not in (by, *progress)]
+    return members.groupBy(by).agg(*[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in whole])

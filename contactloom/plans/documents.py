@@ -147,3 +147,61 @@ def preprocess_samples(spark, d):
     from contactloom.functions.unicode import preprocess
 
     return table(spark, d, "customer").select("c_custkey", preprocess(F.expr(_RAW)).alias("text"))
+
+
+_LINES = """CASE c_custkey % 7 WHEN 0 THEN concat('co-', chr(10), 'operation') WHEN 1 THEN concat('one  ', chr(10), ' two') WHEN 2 THEN 'Россияnik@site.ru' WHEN 3 THEN 'E-mail:ivanov@site . ru'
+  WHEN 4 THEN 'write to x@ y.org  now' WHEN 5 THEN '(a)b.c@d.com' ELSE 'plain a.b@c.ru' END"""
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'cooperation' WHEN 1 THEN 'one two' WHEN 2 THEN 'Россия nik@site.ru' WHEN 3 THEN 'E-mail: ivanov@site.ru' WHEN 4 THEN 'write to x@y.org now'
+    WHEN 5 THEN '(a) b.c@d.com' ELSE 'plain a.b@c.ru' END AS text FROM customer"""
+)
+def one_line_text(spark, d):
+    """Texts with known results."""
+    from contactloom.functions import text as T
+
+    return table(spark, d, "customer").select("c_custkey", T.one_line(F.expr(_LINES)).alias("text"))
+
+
+_NAMES = "CASE c_custkey % 9 WHEN 0 THEN 'https://a.org/x.pdf' WHEN 1 THEN 'a/B.PDF' WHEN 2 THEN 'a.docx' WHEN 3 THEN 'a.xlsx' WHEN 4 THEN 'a.tsv' WHEN 5 THEN 'a.zip' WHEN 6 THEN 'a.HTM' WHEN 7 THEN 'a' ELSE 'a.txt' END"
+
+
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'url' WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' WHEN 3 THEN 'xlsx' WHEN 4 THEN 'csv' WHEN 5 THEN 'zip' WHEN 6 THEN 'html' ELSE 'text' END AS kind FROM customer")
+def source_kinds(spark, d):
+    """Which reader a source goes to."""
+    from contactloom.sources.files import suffix_kind
+
+    return table(spark, d, "customer").select("c_custkey", suffix_kind(F.expr(_NAMES)).alias("kind"))
+
+
+@query(
+    """SELECT c_custkey AS doc, concat('a', c_custkey, '@x.ru') AS email FROM customer WHERE c_custkey % 4 <> 3 UNION ALL SELECT c_custkey, 'b@x.ru' FROM customer WHERE c_custkey % 4 = 1
+    UNION ALL SELECT c_custkey, 'scan@y.org' FROM customer WHERE c_custkey % 4 IN (0, 3)"""
+)
+def pdf_addresses(spark, d):
+    """Documents with fewer than two addresses in their text give those of the recognised text, too."""
+    text = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('a', c_custkey, '@x.ru') WHEN 1 THEN concat('A', c_custkey, '@x.ru, b@x.ru') WHEN 2 THEN concat('a', c_custkey, '@x.ru') ELSE 'nothing' END")
+    ocr = F.expr("CASE WHEN c_custkey % 4 <> 2 THEN 'scan@y.org' END")
+    return X.with_ocr(table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), text.alias("text"), ocr.alias("ocr_text")), "doc", 2)
+
+
+@query(
+    """SELECT c_custkey AS k, CAST(c_custkey % 2 AS BIGINT) AS hits_mailto, CAST(c_custkey % 3 AS BIGINT) AS hits_text, CAST(0 AS BIGINT) AS hits_bundle FROM customer WHERE c_custkey % 2 + c_custkey % 3 > 0"""
+)
+def hit_origin_counts(spark, d):
+    """Hits of pages by origin, zero-filled."""
+    from contactloom.operators.reports import origin_counts
+
+    html = F.expr("concat(CASE WHEN c_custkey % 2 = 1 THEN '<a href=\"mailto:m@x.ru\">w</a>' ELSE '' END, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '<p>t1@x.ru</p>' ELSE '<p>t1@x.ru</p> <p>t2@x.ru</p>' END)")
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), html.alias("html"))
+    return origin_counts(X.page_hits(pages, "k"), "k", ["mailto", "text", "bundle"])
+
+
+@query("SELECT l_orderkey AS archive, CAST(sum(l_linenumber) AS BIGINT) AS found, CAST(sum(l_suppkey) AS BIGINT) AS rejected FROM lineitem GROUP BY 1")
+def archive_statistics(spark, d):
+    """Statistics of archives from those of their members."""
+    from contactloom.operators.reports import merge_member_stats
+
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("found"), F.col("l_suppkey").alias("rejected"), F.col("l_partkey").alias("files_processed"), F.col("l_linestatus").alias("last_file"))
+    return merge_member_stats(m, "archive")
