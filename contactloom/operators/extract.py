@@ -99,20 +99,20 @@ def obfuscated(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def mailto(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Addresses of mailto links; + stays +."""
     raw = F.explode(F.regexp_extract_all(F.col(html), F.lit("(?i)href=[\"']mailto:([^\"'?]+)"), F.lit(1)))
-    d = df.select(key, raw.alias("raw"))
+    d = df.filter(F.lower(html).contains("mailto:")).select(key, raw.alias("raw"))
     return d.select(key, F.lower(F.try_url_decode(F.replace("raw", F.lit("+"), F.lit("%2B")))).alias("email"))
 
 
 def cfemails(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     """T20 on pages: data-cfemail attributes."""
     raw = F.explode(F.regexp_extract_all(F.col(html), F.lit("data-cfemail=\"([0-9a-fA-F]+)\""), F.lit(1)))
-    return df.select(key, raw.alias("hex")).select(key, T.decode_cfemail(F.col("hex")).alias("email"))
+    return df.filter(F.col(html).contains("data-cfemail")).select(key, raw.alias("hex")).select(key, T.decode_cfemail(F.col("hex")).alias("email"))
 
 
 def bundles(df: DataFrame, key: str, text: str = "html") -> DataFrame:
     """base64 literals of scripts."""
     raw = F.explode(F.regexp_extract_all(F.col(text), F.lit("(?:atob|Buffer\\.from)\\([\"']([A-Za-z0-9+/=]+)[\"']"), F.lit(1)))
-    return df.select(key, raw.alias("b64")).select(key, T.decode_base64(F.col("b64")).alias("email")).filter("email is not null")
+    return df.filter(F.col(text).contains("atob") | F.col(text).contains("Buffer.from")).select(key, raw.alias("b64")).select(key, T.decode_base64(F.col("b64")).alias("email")).filter("email is not null")
 
 
 #: JSON in pages: linked data, and the state that frameworks leave for their scripts.
@@ -134,6 +134,9 @@ def json_strings(c: Column) -> Column:
 def embedded_json(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Addresses in the strings of LD-JSON and framework state: as they are, de-obfuscated, or in base64."""
     blocks = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in JSON_BLOCKS])
+    # the cheap test first: pages without the names of such blocks don't reach the patterns
+    low = F.lower(html)
+    df = df.filter(low.contains("ld+json") | low.contains("__next_data__") | low.contains("__nuxt__") | low.contains("__initial_state__"))
     s = df.select(key, F.explode(blocks).alias("json")).select(key, F.explode(json_strings(F.col("json"))).alias("s"))
     s = s.withColumns({"plain": T.preclean(F.col("s")), "decoded": T.decode_base64(F.col("s"))})
     none = F.array().cast("array<string>")
