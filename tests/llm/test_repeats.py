@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from contactloom.llm.substring_dedup import repeated_words
@@ -111,3 +112,29 @@ def test_a_frequent_rank_with_many_surroundings(spark):
     rows = [(i, f"{word()} {word()} {line[: 90 + r.randint(0, 40)]} {word()} {line} {word()}", "", 0) for i in range(80)]
     got = repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(3)).orderBy("doc_id").collect()
     assert [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got] == brute_bytes(rows, 100)
+
+
+def test_very_long_texts(spark):
+    """Two texts of 200,000 words, the second a near copy of the first, through the operators that read texts whole."""
+    from contactloom.llm import quality_model
+    from contactloom.llm.exact_dedup import exact_duplicates
+    from contactloom.llm.minhash import near_duplicates
+    from contactloom.llm.mixing import mix
+    from contactloom.llm.packing import pack_documents
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(200_000)]
+    other = [w if i % 4000 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words), "", 0), (2, "\n".join(other), "", 0), (3, "short text", "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = repeated_words(df).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got] == brute_words(rows, 20)
+    got = {x.doc_id: x for x in repeated_spans(df).collect()}
+    assert got[1].n_bytes == len(rows[0][1]) and got[3].n_removed == 0
+    assert {x.doc_id: (x.text_sha256, x.group_size) for x in exact_duplicates(df, hash_all=True).collect()} == {i: (hashlib.sha256(t.encode()).hexdigest(), 1) for i, t, *_ in rows}
+    assert {x.doc_id: (x.component_id, x.kept) for x in near_duplicates(df).collect()} == {1: (1, True), 2: (1, False), 3: (3, True)}
+    pieces = pack_documents(df).collect()
+    assert all(sorted(x.piece for x in pieces if x.doc_id == i) == list(range(sum(x.doc_id == i for x in pieces))) for i in (1, 2, 3))
+    assert sum(x.taken for x in mix(df.withColumnRenamed("rid", "source")).collect()) == 400_002
+    model = quality_model.Model(np.linspace(-1, 1, quality_model.WIDTH), np.array([0.0, 1.0]))
+    assert all(0 < x.expected_grade < 2 for x in quality_model.grade_texts(df, model).collect())
