@@ -21,10 +21,19 @@ def variant_map(df: DataFrame, key: Column, email: str = "email") -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim(F.col(email))))), ",").alias("variants"), F.count_distinct(F.lower(F.trim(F.col(email)))).alias("n"))
 
 
-def across_sources(df: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
-    """Rows with their rank within the key; rank 1 is unique, others are duplicates of it."""
-    w = Window.partitionBy("key").orderBy(pos)
-    return df.withColumn("key", key).withColumns({"rank": F.row_number().over(w), "first_source": F.first("source").over(w)})
+def across_sources(df: DataFrame, key: Column, pos: str = "pos", width: int = 100_000) -> DataFrame:
+    """Rows with their rank within the key; rank 1 is unique, others are duplicates of it.
+
+    A key's rows are ranked in stretches of `width` positions, which are counted
+    first, so no task holds more of a hot key than one stretch.
+    """
+    e = df.withColumn("key", key).withColumn("_part", F.floor(F.col(pos) / width))
+    parts = e.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(pos, "source")).alias("_first"))
+    w = Window.partitionBy("key").orderBy("_part")
+    parts = parts.select(F.col("key").alias("_key"), F.col("_part").alias("_p"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.first("_first").over(w)["source"].alias("first_source"))
+    e = e.join(parts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    rank = F.row_number().over(Window.partitionBy("key", "_part").orderBy(pos))
+    return e.select(*df.columns, "key", (F.col("_before") + rank).cast("int").alias("rank"), "first_source")
 
 
 def merge_footnotes(hits: DataFrame, radius: int = 1) -> DataFrame:

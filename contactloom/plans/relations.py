@@ -569,12 +569,17 @@ def page_hit_origins(spark, d):
     return tiered(page_hits(p, "k"), "k", order).select("k", "email", "origin")
 
 
-@query("SELECT l_orderkey AS id, CASE WHEN l_linenumber = 7 THEN 'encrypted' WHEN l_linenumber = 6 THEN 'denied_suffix' WHEN l_linenumber = 5 THEN 'too_deep' END AS reason FROM lineitem")
+@query(
+    """SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_linenumber = 7 THEN 'encrypted' WHEN l_linenumber = 6 THEN 'denied_suffix' WHEN l_linenumber = 5 THEN 'too_deep'
+    WHEN l_linenumber IN (2, 3) THEN 'unsafe_path' WHEN l_linenumber = 4 AND l_suppkey % 3 = 0 THEN 'bomb_ratio' END AS reason FROM lineitem"""
+)
 def zip_guard(spark, d):
-    """S14, M14."""
+    """Every reason to refuse a member; a large one is a bomb only if it unpacks from next to nothing."""
     li = table(spark, d, "lineitem")
-    name = F.expr("CASE l_linenumber WHEN 6 THEN 'a/run.exe' WHEN 5 THEN 'a/b/c/d/e.txt' ELSE 'a/doc.txt' END")
-    return li.select(F.col("l_orderkey").alias("id"), RU.zip_member_reason(name, F.lit(100), F.lit(50), F.col("l_linenumber") == 7).alias("reason"))
+    name = F.expr("CASE l_linenumber WHEN 2 THEN 'a/../../etc/passwd' WHEN 3 THEN '/root/a.txt' WHEN 5 THEN 'a/b/c/d/e.txt' WHEN 6 THEN 'a/Run.EXE' WHEN 7 THEN '../a.exe' ELSE 'a/b/c/doc.txt' END")
+    size = F.expr("CASE WHEN l_linenumber = 4 AND l_suppkey % 3 <> 2 THEN 60 * 1024 * 1024 ELSE 100 END")
+    packed = F.expr("CASE WHEN l_linenumber = 4 AND l_suppkey % 3 = 1 THEN 20000 ELSE 1 END")
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), RU.zip_member_reason(name, size, packed, F.col("l_linenumber") == 7).alias("reason"))
 
 
 @query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' ELSE 'xlsx' END AS kind, CASE c_custkey % 3 WHEN 1 THEN 'b.txt' END AS member, CASE c_custkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 END AS page, CASE c_custkey % 3 WHEN 2 THEN 'B12' END AS cell FROM customer")
@@ -586,11 +591,18 @@ def source_reference(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), source_ref(ref).alias("r")).select("id", "r.kind", "r.member", "r.page", "r.cell")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN true ELSE c_custkey % 2 = 0 END AS keep FROM customer")
+_MX = "CASE s_nationkey % 6 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'Univ.EDU' WHEN 2 THEN 'company.ru' WHEN 3 THEN 'yandex.ru' ELSE 'other.org' END"
+
+
+@query(
+    f"""WITH {R}, m AS (SELECT lower({_MX}) AS domain, bool_or(s_suppkey % 2 = 0 AND NOT {_MX} IN ('Univ.EDU', 'company.ru')) AS has_mx FROM supplier GROUP BY 1)
+    SELECT pos, lower(split_part(email, '@', 2)) AS domain, coalesce(has_mx, true) AS keep FROM r LEFT JOIN m ON m.domain = lower(split_part(email, '@', 2))"""
+)
 def mx_filter(spark, d):
-    """Domains without mail exchange go; unknown ones stay."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    facts = c.filter("id % 5 <> 0").select("id", (F.col("id") % 2 == 0).alias("has_mx"))
-    return c.join(facts, "id", "left").select("id", F.coalesce("has_mx", F.lit(True)).alias("keep"))
+    """Addresses of domains that were looked up and have no mail exchange go; those of unknown domains stay."""
+    found = (F.col("s_suppkey") % 2 == 0) & ~F.expr(_MX).isin("Univ.EDU", "company.ru")
+    facts = table(spark, d, "supplier").groupBy(F.lower(F.expr(_MX)).alias("domain")).agg(F.bool_or(found).alias("has_mx"))
+    r = recipients(spark, d).withColumn("domain", T.domain_part(F.col("email")))
+    return r.join(facts, "domain", "left").select("pos", "domain", F.coalesce("has_mx", F.lit(True)).alias("keep"))
 
 

@@ -255,3 +255,15 @@ def test_sliding_counts_of_one_key(spark):
     df = spark.createDataFrame([("k", i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate(at)], "k string, i int, ts timestamp")
     got = {r.i: r.n_recent for r in W.sliding_count(df, "k", "ts", 60).collect()}
     assert got == {i: sum(s - 59 <= x <= s for x in at) for i, s in enumerate(at)}
+
+
+def test_ranks_across_sources_by_stretches(spark):
+    rows = [(i, f"k{i % 3}" if i % 7 else None, f"s{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "pos long, email string, source string")
+    got = {r.pos: (r.key, r.rank, r.first_source) for r in D.across_sources(df, F.col("email"), width=4).collect()}
+    want, seen = {}, {}
+    for pos, key, source in rows:
+        n, first = seen.get(key, (0, source))
+        seen[key] = (n + 1, first)
+        want[pos] = (key, n + 1, first)
+    assert got == want
