@@ -117,6 +117,30 @@ def test_hits_are_judged_by_their_own_surroundings(spark):
     assert [r.p for r in docs.filter("doc = 2").select(F.explode(X.places(F.col("text"))).alias("p")).collect()] == [4, 13]
 
 
+def test_hits_are_judged_once(spark):
+    """A text's places are found once, a hit is judged once, and the work isn't done in the scan's few tasks."""
+    import re
+
+    from contactloom.plans import pipelines as P
+
+    text = " ".join(f"and é{i % 7} User{i % 150}@mail{i % 3}.ru," for i in range(300))
+    docs = spark.createDataFrame([(1, text), (None, "x@a.org x@a.org"), (None, "x@a.org"), (3, "no @ here"), (4, None)], "doc int, text string")
+    hits = X.hits(docs, at=True)
+    assert [(r.at, r.email) for r in hits.filter("doc = 1").orderBy("pos").collect()] == [(m.start() + 1, m[0].lower()) for m in re.finditer(X.ADDRESS, text)]
+    got = P.classify_hits(hits, "doc").collect()
+    assert sorted(r.pos for r in got if r.doc == 1 and r.stage == "duplicate") == list(range(150, 300))
+    assert [r.stage for r in got if r.doc is None] == [None] * 3 and len(got) == 303
+    customers = spark.range(40).selectExpr("id AS c_custkey")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        t = P._extract_texts(customers)
+        plan = P.classify_hits(X.hits(t, at=True), "doc")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    below = plan[plan.index("Repartition 5, true") :]
+    assert "regexp_extract_all" not in below and "Join" not in plan
+
+
 def foot(spark, rows):
     return spark.createDataFrame(rows, "base string, page long, domain string, pre string, local string")
 
