@@ -5,19 +5,23 @@ pieces are sequences as they are.  Parts of the others, of about ITEMS pieces
 however many there are, are packed best-fit (longest first) side by side.  Nearly
 full bins leave; the emptiest others travel up a tree as items with their
 contents.  At each node the bins of the children are packed best-fit again, as
-they are or opened into their pieces, whichever takes fewer bins.
+they are or opened into their pieces, whichever takes fewer bins.  What the tree
+leaves with room, however many bins, is then packed best-fit as a whole: by the
+number of bins of each size, of which there are 1,023.  So no two sequences fit
+into one.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm import blocks as B
@@ -27,7 +31,7 @@ LIMIT, END = 1024, 2
 FAN = 8
 #: Pieces of a part; smaller parts would leave more room to the tree.
 ITEMS = 2000
-#: Tokens that a nearly full bin has room for at most, and bins of a node that go up at most; all others are sequences.
+#: Tokens that a nearly full bin has room for at most, and bins of a node that go up at most; all others wait for the packing by sizes.
 ROOM, UP = 8, 64
 
 
@@ -128,8 +132,84 @@ def best_fit(sizes: list[int], limit: int = LIMIT) -> list[list[int]]:
     return bins
 
 
+def fill(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """`best_fit` of any number of items, known by the number of each size: (bins, members) of each kind of bin that holds several items.
+
+    A member is (size, first, each, offset): bin b of the kind holds the items first + b * each and on, `each` in all, of
+    that size from that offset.  The work grows with the sizes, not with the items.
+    """
+    room: list[list[tuple[int, list]]] = [[] for _ in range(limit + 1)]
+    mask = 0
+    for s in sorted(counts, reverse=True):
+        at, left = 0, counts[s]
+        while left:
+            # an item makes its bin the tightest, so the next ones go there while they fit
+            fit = mask >> s
+            r = s + ((fit & -fit).bit_length() - 1) if fit else limit
+            each = min(left, r // s)
+            bins, held = room[r].pop() if fit else (left // each, [])
+            n = min(bins, left // each)
+            if bins > n:
+                room[r].append((bins - n, [(x, a + n * k, k, o) for x, a, k, o in held]))
+            if not room[r]:
+                mask &= ~(1 << r)
+            room[r - s * each].append((n, [*held, (s, at, each, limit - r)]))
+            mask |= 1 << (r - s * each)
+            at, left = at + n * each, left - n * each
+    return [(n, held) for kinds in room for n, held in kinds if sum(k for _, _, k, _ in held) > 1]
+
+
+def _placed(kinds: list[tuple[int, list[tuple[int, int, int, int]]]]):
+    """(number, sequence, shift) of bins (number, size, rank) that share a sequence, by what `fill` says; others give no row."""
+    moves: dict[int, list] = {}
+    first = 0
+    for n, held in kinds:
+        for s, a, k, o in held:
+            moves.setdefault(s, []).append((a, a + n * k, k, first, o))
+        first += n
+    for m in moves.values():
+        m.sort()
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for number, size, rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = moves[size]
+                i = bisect.bisect_right(m, rank, key=lambda x: x[0]) - 1
+                if i >= 0 and rank < m[i][1]:
+                    a, _, k, b, o = m[i]
+                    # numbers below zero, which the rows' own never are
+                    for col, v in zip(out, (number, -1 - b - (rank - a) // k, o + (rank - a) % k * size), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["number", "sequence", "shift"])
+
+    return sorted(moves), run
+
+
+def _together(every: DataFrame) -> DataFrame:
+    """Bins (size, items) numbered by sequence_id, with the shift of their pieces; those that best fit puts together share one.
+
+    Only numbers and sizes are ranked: in each size by the partition, then by the row.
+    """
+    # the rows of checkpoints stay in place, so their numbers do
+    every = every.withColumn("number", F.monotonically_increasing_id())
+    left = {x["size"]: x["count"] for x in every.filter(F.col("size") < LIMIT).groupBy("size").count().collect()}
+    sizes, run = _placed(fill(left))
+    alone = every.select(F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("shift"), "items", "size")
+    if not sizes:
+        return alone
+    some = every.filter(F.col("size").isin(sizes))
+    e = some.select("number", "size", F.shiftright("number", 33).alias("part"))
+    before = e.groupBy("size", "part").count()
+    before = before.select("size", "part", (F.sum("count").over(Window.partitionBy("size").orderBy("part")) - F.col("count")).alias("before"))
+    ranked = e.withColumn("own", F.row_number().over(Window.partitionBy("size", "part").orderBy("number"))).join(before, ["size", "part"])
+    places = ranked.select("number", "size", (F.col("before") + F.col("own") - 1).alias("rank")).mapInArrow(run, "number long, sequence long, shift long")
+    moved = some.join(places, "number", "left").select(F.coalesce("sequence", "number").alias("sequence_id"), F.coalesce("shift", F.lit(0)).cast("long").alias("shift"), "items")
+    return alone.filter(~F.col("size").isin(sizes)).drop("size").unionByName(moved)
+
+
 _FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-BIN = "node long, up boolean, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,ids:binary,offset:long>>"
+BIN = "node long, up boolean, size long, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,ids:binary,offset:long>>"
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("offset", pa.int64())])
 
 
@@ -154,7 +234,7 @@ def _bins(node: int, items: list[list[dict]], last: bool) -> pa.RecordBatch:
         for x in b:
             x["offset"] = at
             at += x["length"]
-    return pa.RecordBatch.from_arrays([pa.array([node] * len(packed), pa.int64()), pa.array([i in up for i in range(len(packed))], pa.bool_()), pa.array(packed, pa.list_(_ITEM))], names=["node", "up", "items"])
+    return pa.RecordBatch.from_arrays([pa.array([node] * len(packed), pa.int64()), pa.array([i in up for i in range(len(packed))], pa.bool_()), pa.array(total, pa.int64()), pa.array(packed, pa.list_(_ITEM))], names=["node", "up", "size", "items"])
 
 
 def _pack(last: bool):
@@ -189,7 +269,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = B.checkpoint(rows.mapInArrow(_pieces(path, keep_ids), PIECE))
     # full pieces are sequences as they are, and stay where they are
-    done = [pieces.filter(F.col("length") == LIMIT).select(F.array(F.struct(*_FIELDS, F.lit(0).cast("long").alias("offset"))).alias("items"))]
+    done = [pieces.filter(F.col("length") == LIMIT).select(F.col("length").alias("size"), F.array(F.struct(*_FIELDS, F.lit(0).cast("long").alias("offset"))).alias("items"))]
     rest = pieces.filter(F.col("length") < LIMIT)
     nodes = max(1, -(-rest.count() // ITEMS))
     item = F.array(F.struct(*_FIELDS, F.lit(0).cast("long").alias("offset"))).alias("items")
@@ -204,7 +284,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     while True:
         bins = packed(level, nodes)
-        done.append(bins.filter("not up").select("items"))
+        done.append(bins.filter("not up").select("size", "items"))
         if nodes == 1:
             break
         level = bins.filter("up").select(F.floor(F.col("node") / FAN).cast("long").alias("node"), "items")
@@ -212,7 +292,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    # the rows of checkpoints stay in place, so their numbers do
-    out = every.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode("items").alias("p"))
-    out = out.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset", "p.ids")
+    out = _together(every).select("sequence_id", "shift", F.explode("items").alias("p"))
+    out = out.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", (F.col("p.offset") + F.col("shift")).alias("offset"), "p.ids")
     return out if keep_ids else out.drop("ids")

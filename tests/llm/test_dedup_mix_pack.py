@@ -373,6 +373,45 @@ def test_equal_sizes_across_nodes(spark, monkeypatch):
     assert len(got) == 300 and len({x.sequence_id for x in got}) == 2
 
 
+def test_no_two_sequences_fit_into_one(spark, monkeypatch):
+    """Bins that don't go up the tree, however many, meet all others: one part holds long pieces, the other short ones."""
+    from contactloom.llm import packing
+
+    monkeypatch.setattr(packing, "ITEMS", 103)
+    docs, doc = [], 0
+    for j in range(205):
+        while zlib.crc32(f"{doc} 0 {j + 1}".encode()) % 2 != (j >= 140):
+            doc += 1
+        docs.append((doc, "x " * (700 if j < 140 else 300)))
+        doc += 1
+    got = pack_documents(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    seqs = collections.defaultdict(list)
+    for x in got:
+        seqs[x.sequence_id].append((x.offset, x.length))
+    for s in seqs.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))]
+    used = sorted(sum(n for _, n in s) for s in seqs.values())
+    assert len({x.doc_id for x in got}) == len(got) == 205 and used[-1] <= 1024
+    assert used[0] + used[1] > 1024
+
+
+def test_fill_is_best_fit_of_counts():
+    from contactloom.llm.packing import fill
+
+    r = random.Random(6)
+    for _ in range(200):
+        limit = r.choice([10, 50, 1024])
+        sizes = [r.randint(1, limit - 1) for _ in range(r.randint(0, 60))] + [r.randint(1, 9)] * r.randint(0, 30)
+        got, seen = [], collections.Counter()
+        for n, held in fill(collections.Counter(sizes), limit):
+            for b in range(n):
+                got.append(sorted(s for s, _, k, _ in held for _ in range(k)))
+                assert [o for *_, o in held] == [sum(s * k for s, _, k, _ in held[:i]) for i in range(len(held))]
+                seen.update((s, a + b * k + j) for s, a, k, _ in held for j in range(k))
+        assert max(seen.values(), default=1) == 1 and all(q < sizes.count(s) for s, q in seen)
+        assert sorted(got) == sorted(sorted(sizes[i] for i in b) for b in best_fit(sizes, limit) if len(b) > 1)
+
+
 def test_best_fit():
     assert sorted(map(sorted, best_fit([600, 424, 500, 524, 1]))) == [[0, 1], [2, 3], [4]]
     assert best_fit([]) == []
